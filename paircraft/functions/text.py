@@ -29,19 +29,27 @@ def multi_fold_class() -> str:
     return "[" + "".join(re.escape(ch) for ch, _ in multi) + "]"
 
 
+@functools.lru_cache(maxsize=None)
+def _multi_fold_map_args() -> tuple:
+    _, _, multi = ascii_fold_tables()
+    return tuple(x for ch, rep in multi for x in (ch, rep))
+
+
 def ascii_fold(col) -> Column:
     """NFKD fold to ASCII, drop what has no ASCII part, lower case.
 
     Single-letter folds are one ``translate``; multi-letter folds (ligatures,
-    fractions) are a ``replace`` chain that only runs on rows containing one
-    of those rare characters (checked by one regex scan).
+    fractions) are a literal map applied per character, only on rows that
+    contain one of those rare characters (checked by one regex scan).
     """
     src, dst, multi = ascii_fold_tables()
     t = F.translate(F.coalesce(_c(col), F.lit("")), src, dst)
     if multi:
-        chain = functools.reduce(lambda acc, m: F.replace(acc, F.lit(m[0]), F.lit(m[1])),
-                                 multi, t)
-        t = F.when(t.rlike(multi_fold_class()), chain).otherwise(t)
+        m = F.create_map(*[F.lit(x) for x in _multi_fold_map_args()])
+        # ASCII runs stay whole; each remaining non-ASCII character is looked up
+        pieces = F.regexp_extract_all(t, F.lit("[\\x00-\\x7F]+|(?s)."), 0)
+        mapped = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(m, p), p)), "")
+        t = F.when(t.rlike(NON_ASCII_RE), mapped).otherwise(t)
     return F.lower(F.regexp_replace(t, NON_ASCII_RE, ""))
 
 
@@ -106,30 +114,61 @@ def char_count(col) -> Column:
     return F.length(_c(col)).cast("bigint")
 
 
-def word_ngrams(col, n_min: int = 1, n_max: int = 2) -> Column:
-    """Word n-grams of the default vectorizer token rule (two or more Unicode
-    word characters), n in [n_min, n_max] (X13)."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))),
-                                F.lit(r"(?U)\b\w\w+\b"), 0)
+def _gram_at(toks: Column, n: int):
+    # one-argument lambda: transform() treats a two-argument lambda as (x, index)
+    return lambda i: F.array_join(F.slice(toks, i + 1, n), " ")
+
+
+def _slice_at(chars: Column, n: int):
+    return lambda i: F.array_join(F.slice(chars, i, n), "")
+
+
+# The n-gram builders reference their token/char array many times (also
+# inside lambdas, once per element). They therefore take the array as an
+# already projected column and are used through the DataFrame helpers below,
+# which project the array first; a non-trivial expression would otherwise be
+# re-evaluated for every n-gram.
+
+def word_tokens(col) -> Column:
+    """The default vectorizer token rule: two or more Unicode word characters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
+
+
+def word_ngrams_of(toks: str, n_min: int = 1, n_max: int = 2) -> Column:
+    """Word n-grams of a projected token-array column, n in [n_min, n_max]."""
+    t = F.col(toks)
     parts = []
     for n in range(n_min, n_max + 1):
         if n == 1:
-            parts.append(toks)
+            parts.append(t)
             continue
-        grams = F.transform(
-            F.sequence(F.lit(0), F.size(toks) - n),
-            lambda i, n=n: F.array_join(F.slice(toks, i + 1, n), " "))
-        parts.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
+        grams = F.transform(F.sequence(F.lit(0), F.size(t) - n), _gram_at(t, n))
+        parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
 
 
-def char_ngrams(col, n_min: int = 3, n_max: int = 5) -> Column:
-    """Character n-grams over the whole string after collapsing whitespace
-    runs to one space, n in [n_min, n_max] (X14)."""
+def char_array(col) -> Column:
+    """Characters of the lower-cased text with whitespace runs collapsed."""
     s = F.regexp_replace(F.lower(F.coalesce(_c(col), F.lit(""))), r"\s\s+", " ")
+    return F.regexp_extract_all(s, F.lit("(?s)."), 0)
+
+
+def char_ngrams_of(chars: str, n_min: int = 3, n_max: int = 5) -> Column:
+    """Character n-grams of a projected char-array column (X14): array
+    slices, linear in the text length."""
+    c = F.col(chars)
     parts = []
     for n in range(n_min, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1),
-                            lambda i, n=n: F.substring(s, i, n))
-        parts.append(F.when(F.length(s) >= n, grams).otherwise(F.array().cast("array<string>")))
+        grams = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), _slice_at(c, n))
+        parts.append(F.when(F.size(c) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*parts))
+
+
+def with_word_ngrams(df, text_col: str, out: str, n_min: int = 1, n_max: int = 2):
+    return (df.withColumn("_wtok", word_tokens(text_col))
+              .withColumn(out, word_ngrams_of("_wtok", n_min, n_max)).drop("_wtok"))
+
+
+def with_char_ngrams(df, text_col: str, out: str, n_min: int = 3, n_max: int = 5):
+    return (df.withColumn("_chars", char_array(text_col))
+              .withColumn(out, char_ngrams_of("_chars", n_min, n_max)).drop("_chars"))

@@ -16,6 +16,12 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def R(expr: str) -> str:
+    """Round a double to 6 decimals (matches the Spark side)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1000000.0 + 0.5) / 1000000.0 ELSE {x} END)"
+
+
 def str_list(words) -> str:
     return "[" + ", ".join(lit(w) for w in words) + "]"
 

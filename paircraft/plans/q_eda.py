@@ -25,8 +25,8 @@ def _dup_rate_sql(value_cte: str, q: int) -> str:
 _e AS (SELECT list_sort(list_distinct(quantile_cont(x, {probs}))) AS edges FROM _p),
 _b AS (SELECT CASE WHEN len(edges) > 2 THEN len(list_filter(edges[2:len(edges) - 1], lambda t: t < x))
                    ELSE 0 END AS b, y, edges FROM _p, _e)
-SELECT CAST(b + 1 AS INTEGER) AS bin, edges[b + 1] AS lo, edges[least(b + 2, len(edges))] AS hi,
-       count(*) AS n, CAST(sum(y) AS BIGINT) AS n_dup, sum(y) / count(*) AS dup_rate
+SELECT CAST(b + 1 AS INTEGER) AS bin, {O.R('edges[b + 1]')} AS lo, {O.R('edges[least(b + 2, len(edges))]')} AS hi,
+       count(*) AS n, CAST(sum(y) AS BIGINT) AS n_dup, {O.R('sum(y) / count(*)')} AS dup_rate
 FROM _b GROUP BY b, edges"""
 
 

@@ -71,6 +71,15 @@ def stop_words() -> tuple[str, ...]:
 
 @functools.lru_cache(maxsize=None)
 def ascii_fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """(FROM, TO, MULTI) for the ASCII fold; FROM = single-letter folds
+    followed by the Basic-Multilingual-Plane characters that fold to nothing
+    (``translate`` deletes characters of FROM that have no partner in TO)."""
+    src, dst, multi, drop = _fold_rule()
+    return src + drop, dst, multi
+
+
+@functools.lru_cache(maxsize=None)
+def _fold_rule() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
     """Rule: NFKD-decompose each code point and keep its ASCII part.
 
     Returns (FROM, TO, MULTI): code points whose ASCII part is one character go
@@ -78,17 +87,19 @@ def ascii_fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     fractions) are listed in MULTI as (char, replacement). Everything else
     non-ASCII is removed afterwards by a regex.
     """
-    src, dst, multi = [], [], []
+    src, dst, multi, drop = [], [], [], []
     for cp in range(0x80, 0x110000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         c = chr(cp)
         r = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode("ascii")
         if not r:
+            if cp <= 0xFFFF:
+                drop.append(c)
             continue
         if len(r) == 1:
             src.append(c)
             dst.append(r)
         else:
             multi.append((c, r))
-    return "".join(src), "".join(dst), tuple(multi)
+    return "".join(src), "".join(dst), tuple(multi), "".join(drop)

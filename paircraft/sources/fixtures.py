@@ -166,3 +166,23 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1.0 - F.col("c_sum") / F.col("n_events") / 50000.0).alias("test_ACC"),
         (F.col("c_min") / 50000.0).alias("test_F1"),
         F.col("n_events"))
+
+
+def pair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question table of the pairs: distinct non-null texts of both columns
+    with their cleaned (no stem) form: (qkey, question, clean)."""
+    from paircraft.functions.text import clean_nostem
+    from paircraft.operators.tables import distinct_questions
+
+    def build():
+        q = distinct_questions(doc_pairs(spark, sf_dir))
+        return q.select("qkey", "question", clean_nostem("question").alias("clean"))
+    return materialize(spark, f"pair_questions:{sf_dir}", build)
+
+
+def keyed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-null pairs with the content keys of both sides."""
+    from paircraft.operators.tables import drop_null_pairs, text_key
+    p = drop_null_pairs(doc_pairs(spark, sf_dir))
+    return p.select("pair_id", "qid1", "qid2", "is_duplicate",
+                    text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
