@@ -34,7 +34,7 @@ def length_means(df: DataFrame) -> DataFrame:
 
 def term_counts(df: DataFrame, tokens_col: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., term, freq): token occurrences; explode + partial aggregation."""
-    return (df.select(*by, F.explode(tokens_col).alias("term"))
+    return (df.select(*by, F.explode_outer(tokens_col).alias("term")).where(F.col("term").isNotNull())
               .groupBy(*by, "term").agg(F.count(F.lit(1)).alias("freq")))
 
 
@@ -180,3 +180,44 @@ def describe(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     qs = box_stats(long, "value", ["metric"]).withColumnsRenamed(
         {"q1": "p25", "median": "p50", "q3": "p75"})
     return base.join(qs, "metric")
+
+
+def eda_cosine(pairs: DataFrame) -> DataFrame:
+    """EDA cosine (M2): unigram TF-IDF with stop words removed, raw tf, smooth
+    idf, **fitted on question1 only**, both sides transformed, L2 rows.
+    Both sides of a pair share ``pair_id``, so the dot product is one
+    aggregation on (pair_id, term) and one on pair_id. Returns (pair_id, cosine)."""
+    from pyspark.sql import Window
+    from paircraft.functions.text import drop_stop_words, word_tokens
+    sides = (pairs.select("pair_id", F.lit(1).alias("side"), F.col("question1").alias("t"))
+             .unionByName(pairs.select("pair_id", F.lit(2).alias("side"), F.col("question2").alias("t"))))
+    toks = sides.select("pair_id", "side", word_tokens("t").alias("_tk")) \
+                .select("pair_id", "side", F.explode_outer(drop_stop_words("_tk")).alias("term")) \
+                .where(F.col("term").isNotNull())
+    tf = toks.groupBy("pair_id", "side", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = pairs.agg(F.count(F.lit(1))).scalar()
+    vocab = (tf.where(F.col("side") == 1).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+               .select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    w0 = tf.join(vocab, "term").select("pair_id", "side", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pair_id", "side")))
+    w = w0.select("pair_id", "side", "term", (F.col("w") / norm).alias("w"))
+    per_term = w.groupBy("pair_id", "term").agg(
+        (F.sum(F.when(F.col("side") == 1, F.col("w"))) * F.sum(F.when(F.col("side") == 2, F.col("w")))).alias("prod"))
+    dots = per_term.groupBy("pair_id").agg(F.sum("prod").alias("_dot"))
+    return (pairs.select("pair_id").join(dots, "pair_id", "left")
+                 .select("pair_id", F.coalesce("_dot", F.lit(0.0)).alias("cosine")))
+
+
+def eda_table(pairs: DataFrame) -> DataFrame:
+    """Per-pair EDA columns: lengths, word counts, length difference,
+    Jaccard, EDA cosine, minimum question frequency."""
+    from paircraft.functions.similarity import set_jaccard
+    from paircraft.functions.text import jaccard_token_set
+    from paircraft.operators.tables import attach_min_freq, item_frequency, pair_lengths
+    base = pairs.dropna(subset=["question1", "question2"])
+    sets = base.select("*", jaccard_token_set("question1").alias("_s1"), jaccard_token_set("question2").alias("_s2"))
+    j = sets.withColumn("jaccard", set_jaccard("_s1", "_s2")).drop("_s1", "_s2")
+    lens = pair_lengths(j).drop("word_diff")
+    freq = item_frequency(base)
+    mf = attach_min_freq(lens, freq).drop("freq1", "freq2")
+    return mf.join(eda_cosine(base), "pair_id")

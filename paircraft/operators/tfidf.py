@@ -22,8 +22,11 @@ from paircraft.schema import CHAR_MIN_DF, CHAR_NGRAMS, WORD_MIN_DF, WORD_NGRAMS
 
 def term_frequencies(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf): explode the term array and count (partial aggregation
-    before the shuffle on (key, term))."""
-    return (docs.select(key, F.explode(terms).alias("term"))
+    before the shuffle on (key, term)). ``explode_outer`` + a null filter:
+    a plain ``explode`` makes the optimizer infer a ``size(terms) > 0``
+    filter that re-inlines the whole n-gram expression below the projection
+    (and evaluates the token regex once per n-gram)."""
+    return (docs.select(key, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
                 .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

@@ -94,7 +94,7 @@ def char_count(expr: str) -> str:
     return f"CAST(length({expr}) AS BIGINT)"
 
 
-WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
+WORD_TOKEN = r"[\p{L}\p{Nl}\p{Nd}\p{Mn}\p{Mc}\p{Me}\p{Pc}]{2,}"
 
 
 def word_tokens(expr: str) -> str:
@@ -173,3 +173,34 @@ runs AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes if c.strip())
+
+
+EDA_BASE = """
+_base AS (SELECT pair_id, qid1, qid2, question1, question2, is_duplicate FROM doc_pairs
+          WHERE question1 IS NOT NULL AND question2 IS NOT NULL),
+_freq AS (SELECT qid, count(*) AS freq FROM (SELECT qid1 AS qid FROM _base UNION ALL SELECT qid2 FROM _base)
+          GROUP BY qid),
+_sides AS (SELECT pair_id, 1 AS side, question1 AS t FROM _base UNION ALL SELECT pair_id, 2, question2 FROM _base),
+_tk AS (SELECT pair_id, side, unnest(list_filter(WORDTOK, lambda tk: NOTSTOP)) AS term FROM _sides),
+_etf AS (SELECT pair_id, side, term, count(*) AS tf FROM _tk GROUP BY pair_id, side, term),
+_nq AS (SELECT count(*) AS n FROM _base),
+_evoc AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM _etf, _nq WHERE side = 1 GROUP BY term),
+_ew0 AS (SELECT pair_id, side, term, tf * idf AS w FROM _etf JOIN _evoc USING (term)),
+_ew AS (SELECT pair_id, side, term, w / sqrt(sum(w * w) OVER (PARTITION BY pair_id, side)) AS w FROM _ew0),
+_edot AS (SELECT a.pair_id, sum(a.w * b.w) AS dot FROM _ew a JOIN _ew b
+          ON a.pair_id = b.pair_id AND a.term = b.term AND a.side = 1 AND b.side = 2 GROUP BY a.pair_id),
+_eda AS (SELECT b.pair_id, b.qid1, b.qid2, b.question1, b.question2, b.is_duplicate,
+                CHARQ1 AS q1_len, CHARQ2 AS q2_len, WORDQ1 AS q1_words, WORDQ2 AS q2_words,
+                abs(CHARQ1 - CHARQ2) AS len_diff, JACC AS jaccard,
+                coalesce(d.dot, 0.0) AS cosine,
+                least(coalesce(f1.freq, 0), coalesce(f2.freq, 0)) AS min_freq
+         FROM _base b LEFT JOIN _edot d USING (pair_id)
+         LEFT JOIN _freq f1 ON f1.qid = b.qid1 LEFT JOIN _freq f2 ON f2.qid = b.qid2)
+"""
+
+
+def eda_base() -> str:
+    return (EDA_BASE.replace("WORDTOK", word_tokens("t")).replace("NOTSTOP", not_stop("tk"))
+            .replace("CHARQ1", char_count("b.question1")).replace("CHARQ2", char_count("b.question2"))
+            .replace("WORDQ1", word_count("b.question1")).replace("WORDQ2", word_count("b.question2"))
+            .replace("JACC", set_jaccard(jaccard_set("b.question1"), jaccard_set("b.question2"))))

@@ -1 +1,268 @@
-"""Registered queries."""
+"""Registered gate / subset / scorer queries (G1, G2, G4, G5, G8, J7, A16, T2,
+M13) and the MLlib experts (rows-only checks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from paircraft.operators import gate
+from paircraft.plans import oracle_sql as O
+from paircraft.plans.catalog import register
+from paircraft.plans.q_metrics import SCORES
+from paircraft.sources import fixtures as fx
+
+R = O.R
+NAMES = list(fx.SCORE_EXPERTS)
+K = len(NAMES)
+# Fixed gate parameters of the checked forward / gradient queries.
+W_FIX = [[0.5 if i == j else -0.25 for j in range(K)] for i in range(K)]
+B_FIX = [0.1 * (i + 1) for i in range(K)]
+
+PM = SCORES + """,
+_pm AS (SELECT pair_id, """ + ", ".join(f"max(CASE WHEN expert = {O.lit(e)} THEN p END) AS {e}" for e in NAMES) + """,
+        max(y) AS y FROM scores GROUP BY pair_id)"""
+
+
+def _matrix(spark, sf):
+    s = fx.scores(spark, sf)
+    wide = s.groupBy("pair_id").pivot("expert", NAMES).agg(F.max("p"))
+    return wide.join(s.groupBy("pair_id").agg(F.max("y").alias("y")), "pair_id")
+
+
+@register("gate_predict", PM + f"""
+SELECT pair_id, {R(gate.forward_exprs(NAMES, W_FIX, B_FIX)['s'])} AS score FROM _pm""")
+def gate_predict(spark, sf):
+    """Softmax-gated blend of the expert scores with fixed parameters (G1)."""
+    return gate.predict(_matrix(spark, sf), NAMES, W_FIX, B_FIX).select("pair_id", "score")
+
+
+def _grad_sql():
+    dW, dz = gate.gradient_exprs(NAMES, "y", W_FIX, B_FIX)
+    parts = [f"SELECT 'W' AS param, {i} AS i, {j} AS j, {R(f'avg({e})')} AS grad FROM _pm" for (i, j), e in dW.items()]
+    parts += [f"SELECT 'b', {i}, 0, {R(f'avg({e})')} FROM _pm" for i, e in dz.items()]
+    return PM + "\nSELECT * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("gate_gradient", _grad_sql())
+def gate_gradient(spark, sf):
+    """Mean BCE gradient of the gate at fixed parameters, one aggregation."""
+    return gate.gradient(_matrix(spark, sf), NAMES, "y", W_FIX, B_FIX)
+
+
+def _zero_params():
+    return {m: ([[0.0] * K for _ in range(K)], [0.0] * K) for m in gate.masks(K)}
+
+
+def _subset_grad_sql():
+    parts = []
+    for m in gate.masks(K):
+        key = gate.subset_key(NAMES, m)
+        dW, dz = gate.gradient_exprs(NAMES, "y", *_zero_params()[m], m)
+        parts += [f"SELECT '{key}' AS subset, 'W' AS param, {i} AS i, {j} AS j, {R(f'avg({e})')} AS grad FROM _pm"
+                  for (i, j), e in dW.items()]
+        parts += [f"SELECT '{key}', 'b', {i}, 0, {R(f'avg({e})')} FROM _pm" for i, e in dz.items()]
+    return PM + "\nSELECT * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("subset_gate_gradient", _subset_grad_sql())
+def subset_gate_gradient(spark, sf):
+    """Gate gradients of every expert subset at zero parameters in one
+    aggregation (G5)."""
+    return gate.subset_gradients(_matrix(spark, sf), NAMES, "y", NAMES, _zero_params())
+
+
+def _subset_ll_sql():
+    parts = []
+    for m in gate.masks(K):
+        s = "(" + " + ".join(NAMES[i] for i in m) + f") / {len(m)}"
+        pc = f"least(greatest({s}, 1.1920929e-07), {repr(1 - 1.1920929e-07)})"
+        parts.append(f"SELECT '{gate.subset_key(NAMES, m)}' AS subset, {len(m)} AS k, "
+                     f"avg(-(y * ln({pc}) + (1 - y) * ln(1 - {pc}))) AS log_loss FROM _pm")
+    return PM + ",\n_ll AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("expert_subsets", _subset_ll_sql() + f"\nSELECT subset, k, {R('log_loss')} AS log_loss FROM _ll")
+def expert_subsets(spark, sf):
+    """Every non-empty expert subset with the log-loss of its equal-weight
+    blend (J7, G4, G8)."""
+    return gate.mean_blend_losses(_matrix(spark, sf), NAMES, "y", NAMES)
+
+
+@register("top10_subsets", _subset_ll_sql() + f"""
+SELECT subset, {R('log_loss')} AS log_loss, row_number() OVER (ORDER BY log_loss, subset) AS rank
+FROM _ll ORDER BY log_loss, subset LIMIT 10""")
+def top10_subsets(spark, sf):
+    """Ten best subsets by log-loss (T2, G6 selection)."""
+    ll = gate.mean_blend_losses(_matrix(spark, sf), NAMES, "y", NAMES)
+    top = ll.orderBy("log_loss", "subset").limit(10)
+    return top.select("subset", "log_loss",
+                      F.row_number().over(Window.orderBy("log_loss", "subset")).cast("long").alias("rank"))
+
+
+@register("best_subset", _subset_ll_sql() + f"""
+SELECT arg_min(subset, log_loss) AS subset, {R('min(log_loss)')} AS log_loss FROM _ll""")
+def best_subset(spark, sf):
+    """Arg-min subset of the log-loss."""
+    ll = gate.mean_blend_losses(_matrix(spark, sf), NAMES, "y", NAMES)
+    return ll.agg(F.min_by("subset", "log_loss").alias("subset"), F.min("log_loss").alias("log_loss"))
+
+
+@register("score_pairs", O.with_(O.DOC_PAIRS) + f"""
+SELECT pair_id, {R(O.set_jaccard(O.jaccard_set('question1'), O.jaccard_set('question2')))} AS p
+FROM doc_pairs WHERE question1 IS NOT NULL AND question2 IS NOT NULL""")
+def score_pairs(spark, sf):
+    """Batch inference through a pluggable Python scorer (M13): the scorer
+    factory runs once per Python worker, pairs arrive in Arrow batches."""
+    from paircraft.operators.experts import score_pairs as sp, token_jaccard_scorer
+    p = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
+    return sp(p, token_jaccard_scorer).select("pair_id", "p")
+
+
+# ---------------------------------------------------------------- rows-only (R)
+@register("gate_fit")
+def gate_fit(spark, sf):
+    """Full-batch Adam fit of the softmax gate on the expert scores (G2, G3);
+    returns the learned parameters as a table."""
+    fitted = gate.fit(_matrix(spark, sf), NAMES, "y", lr=0.05, epochs=15)
+    rows = [("W", i, j, float(fitted.W[i][j])) for i in range(K) for j in range(K)]
+    rows += [("b", i, 0, float(fitted.b[i])) for i in range(K)]
+    return spark.createDataFrame(rows, "param string, i int, j int, value double")
+
+
+@register("grid_search")
+def grid_search(spark, sf):
+    """Learning-rate grid with early stopping on the validation split (G7):
+    (lr, best_epoch, valid_log_loss) per grid point."""
+    from paircraft.operators.split import group_split
+    from paircraft.schema import GATE_LR_GRID
+    m = _matrix(spark, sf).join(group_split(fx.doc_pairs(spark, sf)).select("pair_id", "split"), "pair_id")
+    tr = m.where(F.col("split") != "valid")
+    va = m.where(F.col("split") == "valid")
+    out = []
+    for lr in GATE_LR_GRID:
+        f = gate.fit(tr, NAMES, "y", lr=lr, epochs=8, patience=5, valid=va)
+        out.append((float(lr), int(f.best_epoch), float(min(f.losses))))
+    return spark.createDataFrame(out, "lr double, best_epoch int, valid_log_loss double")
+
+
+_FEATS = ["q1_len", "q2_len", "len_diff", "jaccard", "cosine", "min_freq"]
+
+
+def _expert_frames(spark, sf):
+    from paircraft.operators.experts import balanced_weights, feature_vector
+    from paircraft.operators.split import group_split
+    e = fx.eda_pairs(spark, sf).select("pair_id", "qid1", "qid2", *_FEATS, F.col("is_duplicate").alias("label"))
+    e = group_split(e).drop("grp", "bucket")
+    e = feature_vector(e, _FEATS)
+    train = balanced_weights(e.where(F.col("split") != "test"), "label", "w")
+    return train, e
+
+
+def _run_expert(spark, sf, kind, **params):
+    from paircraft.operators.experts import expert_pipeline, positive_probability
+    train, allp = _expert_frames(spark, sf)
+    n = train.count()  # one number: the regularisation is 1/n
+    model = expert_pipeline(kind, n, 3, params).fit(train)
+    return positive_probability(model.transform(allp)).select("pair_id", "split", "p")
+
+
+@register("expert_lr")
+def expert_lr(spark, sf):
+    """Balanced logistic regression on the PCA-reduced pair features."""
+    return _run_expert(spark, sf, "lr", maxIter=100)
+
+
+@register("expert_gbt")
+def expert_gbt(spark, sf):
+    """Boosted trees, depth 7, rate 0.05, row/column sample 0.9 (M7); 20
+    rounds here, 400 in full runs."""
+    return _run_expert(spark, sf, "gbt", maxIter=20)
+
+
+@register("expert_gbt_deep")
+def expert_gbt_deep(spark, sf):
+    """Deeper boosted trees (M8); 20 rounds here, 600 in full runs."""
+    return _run_expert(spark, sf, "gbt_deep", maxIter=20)
+
+
+@register("expert_rf")
+def expert_rf(spark, sf):
+    """Random forest, leaf >= 2 (M10); 20 trees here, 200 in full runs."""
+    return _run_expert(spark, sf, "rf", numTrees=20, maxDepth=10)
+
+
+@register("expert_svm_calibrated")
+def expert_svm_calibrated(spark, sf):
+    """Linear SVM with 3-fold sigmoid calibration."""
+    from paircraft.operators.experts import svm_calibrated
+    train, allp = _expert_frames(spark, sf)
+    return svm_calibrated(train, allp)
+
+
+@register("expert_pair_vector_lr")
+def expert_pair_vector_lr(spark, sf):
+    """Logistic head on [|u-v|, u*v] of the stored vectors."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from paircraft.functions.similarity import pair_vector
+    p = fx.vector_pairs(spark, sf)
+    d = p.select("pair_id", F.col("is_duplicate").cast("double").alias("label"),
+                 array_to_vector(pair_vector("u", "v", two_part=True)).alias("features"))
+    n = d.agg(F.count(F.lit(1))).first()[0]
+    m = LogisticRegression(regParam=1.0 / max(n, 1), maxIter=200).fit(d)
+    return m.transform(d).select("pair_id", vector_to_array("probability")[1].alias("p"))
+
+
+@register("pca_projection")
+def pca_projection(spark, sf):
+    """Centre then PCA to k=3 components of the pair features (M5)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import vector_to_array
+    _, allp = _expert_frames(spark, sf)
+    pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="c", withMean=True, withStd=False),
+                            PCA(k=3, inputCol="c", outputCol="pca")]).fit(allp)
+    return pipe.transform(allp).select("pair_id", vector_to_array("pca").alias("pca"))
+
+
+@register("svd_projection")
+def svd_projection(spark, sf):
+    """Truncated (uncentred) SVD of the stored vectors to 10 components (M3)."""
+    from paircraft.operators.experts import svd_projection as svd
+    e = table_embeddings(spark, sf)
+    out, _ = svd(e, "vec", 10)
+    return out.select("vec_id", "svd")
+
+
+def table_embeddings(spark, sf):
+    from paircraft.sources.tables import table
+    return table(spark, sf, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+@register("encode_texts")
+def encode_texts(spark, sf):
+    """Distinct question texts encoded by the built-in hashed n-gram encoder,
+    384 wide, unit norm (M14)."""
+    from paircraft.operators.experts import encode_texts as enc
+    q = fx.pair_questions(spark, sf)
+    return enc(q, "question", "qkey", dim=384).select(
+        "qkey", F.size("embedding").alias("dim"),
+        F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
+@register("edit_ratio")
+def edit_ratio(spark, sf):
+    """Indel edit similarity of the two whole texts of each pair."""
+    from paircraft.operators.experts import edit_ratio_udf
+    p = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
+    return p.select("pair_id", edit_ratio_udf("question1", "question2").alias("ratio"))
+
+
+@register("token_set_ratio")
+def token_set_ratio(spark, sf):
+    """Token-set similarity of each pair (X11)."""
+    from paircraft.operators.experts import token_set_ratio_udf
+    p = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
+    return p.select("pair_id", token_set_ratio_udf("question1", "question2").alias("ratio"))

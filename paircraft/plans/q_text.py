@@ -169,9 +169,9 @@ def char_ngrams(spark, sf):
 
 def _tfidf_ctes(analyzer: str) -> str:
     if analyzer == "word":
-        terms = _word_grams_sql(O.word_tokens("clean"))
         min_df, tfv = 3, "(1 + ln(tf))"
-        src = f"SELECT qkey, unnest({terms}) AS term FROM _qc"
+        src = (f"SELECT qkey, unnest({_word_grams_sql('tk')}) AS term FROM "
+               f"(SELECT qkey, {O.word_tokens('clean')} AS tk FROM _qc)")
     else:
         min_df, tfv = 10, "tf"
         src = (f"SELECT qkey, unnest({_char_grams_sql('s')}) AS term FROM "

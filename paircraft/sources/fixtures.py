@@ -186,3 +186,35 @@ def keyed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = drop_null_pairs(doc_pairs(spark, sf_dir))
     return p.select("pair_id", "qid1", "qid2", "is_duplicate",
                     text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
+
+
+def eda_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-pair EDA table (``operators.eda.eda_table``) over ``doc_pairs``,
+    materialised once per application."""
+    from paircraft.operators.eda import eda_table
+    return materialize(spark, f"eda_pairs:{sf_dir}", lambda: eda_table(doc_pairs(spark, sf_dir)))
+
+
+SCORE_EXPERTS = ("containment", "jaccard", "tfidf_cosine")
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long score table (pair_id, expert, p, y) of three deterministic lexical
+    scorers over the non-null ``doc_pairs``: token containment, Jaccard and
+    word TF-IDF cosine. Stands in for the cached expert predictions."""
+    from paircraft.functions.similarity import set_containment, set_jaccard
+    from paircraft.functions.text import jaccard_token_set
+    from paircraft.operators import tfidf
+
+    def build():
+        p = doc_pairs(spark, sf_dir).dropna(subset=["question1", "question2"])
+        s = p.select("pair_id", F.col("is_duplicate").alias("y"),
+                     jaccard_token_set("question1").alias("_s1"), jaccard_token_set("question2").alias("_s2"))
+        lex = s.select("pair_id", "y", set_jaccard("_s1", "_s2").alias("jaccard"),
+                       set_containment("_s1", "_s2").alias("containment"))
+        _, w = tfidf.fit_pair_tfidf(pair_questions(spark, sf_dir), "word")
+        cos = tfidf.pair_cosine(keyed_pairs(spark, sf_dir), w).select("pair_id", F.col("cosine").alias("tfidf_cosine"))
+        wide = lex.join(cos, "pair_id")
+        return wide.selectExpr("pair_id", "y", "stack(3, 'containment', containment, 'jaccard', jaccard, "
+                               "'tfidf_cosine', tfidf_cosine) as (expert, p)").select("pair_id", "expert", "p", "y")
+    return materialize(spark, f"scores:{sf_dir}", build)
