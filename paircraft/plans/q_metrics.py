@@ -18,8 +18,9 @@ R = O.R
 SCORES = _tfidf_ctes("word") + f""",
 _pk AS (SELECT pair_id, is_duplicate AS y, md5(question1) AS k1, md5(question2) AS k2,
                {O.jaccard_set('question1')} AS s1, {O.jaccard_set('question2')} AS s2 FROM doc_pairs {_NN}),
-_dot AS (SELECT p.pair_id, sum(a.w * b.w) AS dot FROM _pk p JOIN _w a ON a.qkey = p.k1
-         JOIN _w b ON b.qkey = p.k2 AND b.term = a.term GROUP BY p.pair_id),
+_pa AS MATERIALIZED (SELECT p.pair_id, p.k2, a.term, a.w FROM _pk p JOIN _w a ON a.qkey = p.k1),
+_dot AS (SELECT pa.pair_id, sum(pa.w * b.w) AS dot FROM _pa pa JOIN _w b ON b.qkey = pa.k2 AND b.term = pa.term
+         GROUP BY pa.pair_id),
 scores AS (
   SELECT pair_id, 'containment' AS expert, {O.set_containment('s1', 's2')} AS p, y FROM _pk
   UNION ALL SELECT pair_id, 'jaccard', {O.set_jaccard('s1', 's2')}, y FROM _pk

@@ -266,3 +266,11 @@ def token_set_ratio(spark, sf):
     from paircraft.operators.experts import token_set_ratio_udf
     p = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
     return p.select("pair_id", token_set_ratio_udf("question1", "question2").alias("ratio"))
+
+
+@register("clean_text")
+def clean_text(spark, sf):
+    """Cleaned and Porter-stemmed question text with its length and word
+    count (X7, X9): stems computed once per distinct token."""
+    from paircraft.operators.stemming import question_meta
+    return question_meta(fx.pair_questions(spark, sf))

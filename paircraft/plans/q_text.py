@@ -189,8 +189,9 @@ _w AS (SELECT qkey, term, w / sqrt(sum(w * w) OVER (PARTITION BY qkey)) AS w FRO
 def _cosine_sql(analyzer: str) -> str:
     return _tfidf_ctes(analyzer) + f""",
 _pk AS (SELECT pair_id, md5(question1) AS k1, md5(question2) AS k2 FROM doc_pairs {_NN}),
-_dot AS (SELECT p.pair_id, sum(a.w * b.w) AS dot FROM _pk p JOIN _w a ON a.qkey = p.k1
-         JOIN _w b ON b.qkey = p.k2 AND b.term = a.term GROUP BY p.pair_id)
+_pa AS MATERIALIZED (SELECT p.pair_id, p.k2, a.term, a.w FROM _pk p JOIN _w a ON a.qkey = p.k1),
+_dot AS (SELECT pa.pair_id, sum(pa.w * b.w) AS dot FROM _pa pa JOIN _w b ON b.qkey = pa.k2 AND b.term = pa.term
+         GROUP BY pa.pair_id)
 SELECT p.pair_id, {R('coalesce(d.dot, 0.0)')} AS cosine FROM _pk p LEFT JOIN _dot d USING (pair_id)"""
 
 

@@ -48,3 +48,34 @@ def test_knn_matches_brute_force(spark):
         d[i] = np.inf
         ref = [int(j) for j in np.lexsort((np.arange(60), np.round(d, 9)))[:3]]
         assert [n for _, n in sorted(got[i])] == ref
+
+
+def test_append_and_follow_log(spark, tmp_path):
+    from paircraft.streaming.log_follow import follow_log
+    root = str(tmp_path / "log")
+    ev = spark.createDataFrame([("2025-06-04 01:00:00", "t.py", 7, "m1", 1.5)],
+                               "ts string, caller string, pid int, model string, seconds double")
+    metric_log.append_events(ev, root, "benchmarks", "lr0.01_ep2")
+    out = str(tmp_path / "parsed")
+    follow_log(spark, root, out, str(tmp_path / "ck"))
+    metric_log.append_events(ev.withColumn("model", ev.model.substr(1, 1)), root, "benchmarks", "lr0.01_ep2")
+    follow_log(spark, root, out, str(tmp_path / "ck"))  # only the new file is parsed
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.model for r in rows) == ["m", "m1"]
+
+
+def test_porter_published_examples():
+    from paircraft.operators.stemming import porter_stem
+    cases = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre",
+             "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file",
+             "happy": "happi", "relational": "relat", "conditional": "condit", "generalization": "gener",
+             "electrical": "electr", "adjustment": "adjust", "controll": "control", "roll": "roll"}
+    for w, s in cases.items():
+        assert porter_stem(w) == s, (w, porter_stem(w), s)
+
+
+def test_stem_job_keeps_order(spark):
+    from paircraft.operators.stemming import stem_column
+    df = spark.createDataFrame([(1, ["cats", "running", "cats"]), (2, [])], "k long, t array<string>")
+    got = {r.k: r.clean for r in stem_column(df, "k", "t").collect()}
+    assert got[1] == "cat run cat" and got[2] == ""
