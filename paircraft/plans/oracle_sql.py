@@ -163,10 +163,10 @@ runs AS (
          array_to_string(list_filter(list_transform(range(0, len(types)),
              lambda i: CASE WHEN ((user_id % 31 + 1) >> i) % 2 = 1 THEN types[i + 1] END),
              lambda m: m IS NOT NULL), '+') AS model,
-         CASE user_id % 3 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 ELSE 0.05 END AS lr,
+         CAST(CASE user_id % 3 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 ELSE 0.05 END AS DOUBLE) AS lr,
          CAST(CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END AS INTEGER) AS epochs,
-         c_sum / 100.0 AS seconds, c_sum / n_events / 50000.0 AS test_LL,
-         1.0 - c_sum / n_events / 50000.0 AS test_ACC, c_min / 50000.0 AS test_F1, n_events
+         CAST(c_sum AS DOUBLE) / 100.0 AS seconds, CAST(c_sum AS DOUBLE) / n_events / 50000.0 AS test_LL,
+         1.0 - CAST(c_sum AS DOUBLE) / n_events / 50000.0 AS test_ACC, CAST(c_min AS DOUBLE) / 50000.0 AS test_F1, n_events
   FROM _g, _types)
 """
 

@@ -53,8 +53,11 @@ def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     spark = df.sparkSession
     n = partitions or shuffle_partitions(spark)
     okey = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    # Range bounds come from a sample whose rows depend on shuffle fetch
+    # order; the partition ids are read twice below (running sums, partition
+    # totals), so they are fixed once with a reliable checkpoint.
     part = (df.repartitionByRange(n, *[F.col(b) for b in by], okey)
-              .withColumn("_pid", F.spark_partition_id()))
+              .withColumn("_pid", F.spark_partition_id())).checkpoint()
     w_local = (Window.partitionBy("_pid", *by).orderBy(okey)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = part.select("*", *[F.sum(c).over(w_local).alias(f"_lc_{c}") for c in sum_cols])
@@ -157,7 +160,7 @@ def next_in_group(df: DataFrame, group_cols: Sequence[str], order_col: str,
     spark = df.sparkSession
     n = partitions or shuffle_partitions(spark)
     keys = [F.col(g) for g in group_cols] + [F.col(order_col)]
-    part = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    part = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint()
     w = Window.partitionBy("_pid", *group_cols).orderBy(order_col)
     local = part.withColumn("_lead", F.lead(order_col).over(w))
     firsts = part.groupBy("_pid", *group_cols).agg(F.min(order_col).alias("_first"))

@@ -14,6 +14,12 @@ from paircraft.sources import metric_log
 
 R = O.R
 
+
+def round6(c: str):
+    """Same IEEE rounding as the SQL side, so formatting never sees a tie."""
+    x = F.col(c).cast("double")
+    return F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x)
+
 # ---------------------------------------------------------------- score fixtures (SQL)
 SCORES = _tfidf_ctes("word") + f""",
 _pk AS (SELECT pair_id, is_duplicate AS y, md5(question1) AS k1, md5(question2) AS k2,
@@ -21,10 +27,11 @@ _pk AS (SELECT pair_id, is_duplicate AS y, md5(question1) AS k1, md5(question2)
 _pa AS MATERIALIZED (SELECT p.pair_id, p.k2, a.term, a.w FROM _pk p JOIN _w a ON a.qkey = p.k1),
 _dot AS (SELECT pa.pair_id, sum(pa.w * b.w) AS dot FROM _pa pa JOIN _w b ON b.qkey = pa.k2 AND b.term = pa.term
          GROUP BY pa.pair_id),
-scores AS (
+_sc AS (
   SELECT pair_id, 'containment' AS expert, {O.set_containment('s1', 's2')} AS p, y FROM _pk
   UNION ALL SELECT pair_id, 'jaccard', {O.set_jaccard('s1', 's2')}, y FROM _pk
-  UNION ALL SELECT p.pair_id, 'tfidf_cosine', coalesce(d.dot, 0.0), p.y FROM _pk p LEFT JOIN _dot d USING (pair_id))"""
+  UNION ALL SELECT p.pair_id, 'tfidf_cosine', coalesce(d.dot, 0.0), p.y FROM _pk p LEFT JOIN _dot d USING (pair_id)),
+scores AS (SELECT pair_id, expert, floor(p * 1000000000.0 + 0.5) / 1000000000.0 AS p, y FROM _sc)"""
 
 EV = O.with_(O.EVENT_SCORES)
 RUNS = O.with_(O.RUNS)
@@ -183,24 +190,24 @@ def benchmark_leaderboard(spark, sf):
     return metrics.leaderboard(r)
 
 
-@register("benchmark_pretty", RUNS + """
+@register("benchmark_pretty", RUNS + f"""
 SELECT run_id, array_to_string(list_transform(string_split(model, '+'), lambda p: p), '+') AS model,
        array_to_string(list_transform(string_split(model, '+'), lambda p: upper(substring(p, 1, 1))), '+') AS short,
-       printf('%.2f', seconds) AS seconds, printf('%.6f', test_LL) AS test_LL, printf('%.6f', test_ACC) AS test_ACC,
-       printf('%.6f', test_F1) AS test_F1 FROM runs""")
+       printf('%.2f', seconds) AS seconds, printf('%.6f', {R('test_LL')}) AS test_LL,
+       printf('%.6f', {R('test_ACC')}) AS test_ACC, printf('%.6f', {R('test_F1')}) AS test_F1 FROM runs""")
 def benchmark_pretty(spark, sf):
     """Selected, renamed, fixed-precision columns and abbreviated member names
     (F7, F8)."""
     r = fx.runs(spark, sf)
     return r.select("run_id", metrics.abbreviate("model").alias("model"), metrics.first_letters("model").alias("short"),
                     F.format_string("%.2f", "seconds").alias("seconds"),
-                    *[F.format_string("%.6f", c).alias(c) for c in ("test_LL", "test_ACC", "test_F1")])
+                    *[F.format_string("%.6f", round6(c)).alias(c) for c in ("test_LL", "test_ACC", "test_F1")])
 
 
 @register("benchmark_union", RUNS + """
-SELECT run_id, model, seconds, 0.001 AS lr_cfg, 1 AS epochs_cfg FROM runs WHERE lr = 0.001
-UNION ALL SELECT run_id, model, seconds, 0.01, 2 FROM runs WHERE lr = 0.01
-UNION ALL SELECT run_id, model, seconds, 0.05, 10 FROM runs WHERE lr = 0.05""")
+SELECT run_id, model, ROUNDSEC AS seconds, CAST(0.001 AS DOUBLE) AS lr_cfg, 1 AS epochs_cfg FROM runs WHERE lr = 0.001
+UNION ALL SELECT run_id, model, ROUNDSEC, CAST(0.01 AS DOUBLE), 2 FROM runs WHERE lr = 0.01
+UNION ALL SELECT run_id, model, ROUNDSEC, CAST(0.05 AS DOUBLE), 10 FROM runs WHERE lr = 0.05""".replace("ROUNDSEC", R("seconds")))
 def benchmark_union(spark, sf):
     """Three benchmark tables, each tagged with its config, unioned."""
     r = fx.runs(spark, sf)

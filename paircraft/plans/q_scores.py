@@ -114,9 +114,9 @@ FROM doc_pairs WHERE question1 IS NOT NULL AND question2 IS NOT NULL""")
 def score_pairs(spark, sf):
     """Batch inference through a pluggable Python scorer (M13): the scorer
     factory runs once per Python worker, pairs arrive in Arrow batches."""
-    from paircraft.operators.experts import score_pairs as sp, token_jaccard_scorer
+    from paircraft.operators.experts import score_pairs as sp, token_jaccard_factory
     p = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
-    return sp(p, token_jaccard_scorer).select("pair_id", "p")
+    return sp(p, token_jaccard_factory()).select("pair_id", "p")
 
 
 # ---------------------------------------------------------------- rows-only (R)

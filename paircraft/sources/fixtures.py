@@ -145,16 +145,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``user_id % 31 + 1`` (types in name order); metrics are exact functions of
     integer cents."""
     ev = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
-    # sorted distinct type names as a scalar subquery (a handful of names)
+    # sorted distinct type names: a scalar subquery, projected as a column
+    # before the lambda that indexes it
     types = ev.agg(F.array_sort(F.collect_set("event_type"))).scalar()
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    g = ev.groupBy("user_id").agg(F.sum(cents).alias("c_sum"), F.count(F.lit(1)).alias("n_events"),
+                                  F.min(cents).alias("c_min")).withColumn("_types", types)
     bits = F.col("user_id") % 31 + 1
     model = F.array_join(F.filter(
-        F.transform(F.sequence(F.lit(0), F.size(types) - 1),
-                    lambda i: F.when(F.shiftright(bits, i) % 2 == 1, types[i])),
+        F.transform(F.sequence(F.lit(0), F.size("_types") - 1),
+                    lambda i: F.when(F.floor(bits / F.pow(F.lit(2), i)) % 2 == 1, F.col("_types")[i])),
         lambda m: m.isNotNull()), "+")
-    cents = F.round(F.col("value") * 100).cast("bigint")
-    g = ev.groupBy("user_id").agg(F.sum(cents).alias("c_sum"), F.count(F.lit(1)).alias("n_events"),
-                                  F.min(cents).alias("c_min"))
     cfg = F.col("user_id") % 3
     return g.select(
         F.col("user_id").alias("run_id"),
@@ -215,6 +216,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, w = tfidf.fit_pair_tfidf(pair_questions(spark, sf_dir), "word")
         cos = tfidf.pair_cosine(keyed_pairs(spark, sf_dir), w).select("pair_id", F.col("cosine").alias("tfidf_cosine"))
         wide = lex.join(cos, "pair_id")
-        return wide.selectExpr("pair_id", "y", "stack(3, 'containment', containment, 'jaccard', jaccard, "
-                               "'tfidf_cosine', tfidf_cosine) as (expert, p)").select("pair_id", "expert", "p", "y")
+        long = wide.selectExpr("pair_id", "y", "stack(3, 'containment', containment, 'jaccard', jaccard, "
+                               "'tfidf_cosine', tfidf_cosine) as (expert, p)")
+        # scores rounded to 1e-9 so that ties do not depend on summation order
+        return long.select("pair_id", "expert", (F.floor(F.col("p") * 1e9 + 0.5) / 1e9).alias("p"), "y")
     return materialize(spark, f"scores:{sf_dir}", build)

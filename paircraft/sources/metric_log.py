@@ -96,4 +96,6 @@ _parsed AS (SELECT split_part(parts[1], ',', 1) AS ts, substr(parts[1], strpos(p
 """
 
 PARSE_SQL = PARSE_SQL_CTE + """
-SELECT ts, caller, pid, model, lr, TRY_CAST(seconds AS DOUBLE) AS seconds, note FROM _parsed"""
+SELECT ts, caller, pid, model, lr,
+       CASE WHEN abs(TRY_CAST(seconds AS DOUBLE)) < 1e12 THEN floor(TRY_CAST(seconds AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0
+            ELSE TRY_CAST(seconds AS DOUBLE) END AS seconds, note FROM _parsed"""
