@@ -12,8 +12,9 @@ from paircraft.sources import fixtures as fx
 
 
 def _jaccard_pairs(spark, sf):
-    p = tables.drop_null_pairs(fx.doc_pairs(spark, sf))
-    return p.select("pair_id", "is_duplicate", jaccard("question1", "question2").alias("jaccard"))
+    """Non-null pairs with their Jaccard overlap, read from the materialised
+    EDA table (one Jaccard computation per application)."""
+    return fx.eda_pairs(spark, sf).select("pair_id", "is_duplicate", "jaccard")
 
 
 _J = f"{O.set_jaccard(O.jaccard_set('question1'), O.jaccard_set('question2'))}"

@@ -196,8 +196,9 @@ SELECT p.pair_id, {R('coalesce(d.dot, 0.0)')} AS cosine FROM _pk p LEFT JOIN _do
 
 
 def _fit(spark, sf, analyzer):
-    qt = fx.pair_questions(spark, sf)
-    return tfidf.fit_pair_tfidf(qt, analyzer)
+    """(model, weights); the weight table is materialised once per
+    application (scores, cosines and weight queries share it)."""
+    return fx.tfidf_fit(spark, sf, analyzer)
 
 
 @register("term_df", _tfidf_ctes("word") + f"""

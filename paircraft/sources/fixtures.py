@@ -213,7 +213,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                      jaccard_token_set("question1").alias("_s1"), jaccard_token_set("question2").alias("_s2"))
         lex = s.select("pair_id", "y", set_jaccard("_s1", "_s2").alias("jaccard"),
                        set_containment("_s1", "_s2").alias("containment"))
-        _, w = tfidf.fit_pair_tfidf(pair_questions(spark, sf_dir), "word")
+        _, w = tfidf_fit(spark, sf_dir, "word")
         cos = tfidf.pair_cosine(keyed_pairs(spark, sf_dir), w).select("pair_id", F.col("cosine").alias("tfidf_cosine"))
         wide = lex.join(cos, "pair_id")
         long = wide.selectExpr("pair_id", "y", "stack(3, 'containment', containment, 'jaccard', jaccard, "
@@ -221,3 +221,18 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         # scores rounded to 1e-9 so that ties do not depend on summation order
         return long.select("pair_id", "expert", (F.floor(F.col("p") * 1e9 + 0.5) / 1e9).alias("p"), "y")
     return materialize(spark, f"scores:{sf_dir}", build)
+
+
+def tfidf_fit(spark: SparkSession, sf_dir: str, analyzer: str = "word"):
+    """TF-IDF model and the (qkey, term, w) weights of the pair questions,
+    both materialised once per application."""
+    from paircraft.operators import tfidf
+
+    key = f"tfidf:{analyzer}:{sf_dir}"
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _MEMO:
+        model, w = tfidf.fit_pair_tfidf(pair_questions(spark, sf_dir), analyzer)
+        vocab = materialize(spark, key + ":vocab", lambda: model.vocab)
+        weights = materialize(spark, key + ":w", lambda: w)
+        _MEMO[k] = (tfidf.TfidfModel(vocab, model.sublinear), weights)
+    return _MEMO[k]
