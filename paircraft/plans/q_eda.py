@@ -250,3 +250,73 @@ def eda_summary(spark, sf):
     row = e.agg(*aggs)
     stack = ", ".join(f"{i + 1}, '{name}', m{i}" for i, (name, _, _, _) in enumerate(_SUMMARY))
     return row.selectExpr(f"stack({len(_SUMMARY)}, {stack}) as (pos, metric, value)")
+
+
+# ---------------------------------------------------------------- feature blocks
+_EDGES = O.num_list([0, 2, 4, 6, 8, 11, 16, 22, 31, 50, 1e6])
+
+
+def _fixed_bin_sql(x: str) -> str:
+    e = _EDGES
+    return (f"CAST(CASE WHEN {x} IS NULL OR {x} < 0 OR {x} > 1e6 THEN 0 "
+            f"ELSE len(list_filter({e}[2:10], lambda t: t < {x})) END AS INTEGER)")
+
+
+@register("len_diff_bins", EDA + f"""
+SELECT pair_id, len_diff, {_fixed_bin_sql('CAST(len_diff AS DOUBLE)')} AS len_bin FROM _eda""")
+def len_diff_bins(spark, sf):
+    """Fixed right-closed bins [0,2,4,6,8,11,16,22,31,50,1e6] of the length
+    difference (X18)."""
+    from paircraft.functions.binning import fixed_bin
+    e = _eda(spark, sf)
+    return e.select("pair_id", "len_diff", fixed_bin(F.col("len_diff").cast("double")).alias("len_bin"))
+
+
+def _onehot_sql(idx: str, n: int) -> str:
+    return f"list_transform(range(0, {n}), lambda k: CASE WHEN k = {idx} THEN 1.0 ELSE 0.0 END)"
+
+
+_NUMERIC = O.with_(O.DOC_PAIRS, f"""
+_p AS (SELECT pair_id, md5(question1) AS k1, md5(question2) AS k2,
+              {O.char_count(O.clean_nostem('question1'))} AS l1, {O.char_count(O.clean_nostem('question2'))} AS l2
+       FROM doc_pairs WHERE question1 IS NOT NULL AND question2 IS NOT NULL),
+_f AS (SELECT k, count(*) AS freq FROM (SELECT k1 AS k FROM _p UNION ALL SELECT k2 FROM _p) GROUP BY k),
+_b AS (SELECT pair_id, l1, l2, abs(l1 - l2) AS ld, CAST(least(f1.freq, f2.freq) AS DOUBLE) AS mf
+       FROM _p JOIN _f f1 ON f1.k = _p.k1 JOIN _f f2 ON f2.k = _p.k2),
+_e AS (SELECT list_sort(list_distinct(quantile_cont(mf, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS edges FROM _b),
+_bb AS (SELECT pair_id, l1, l2, ld, mf, {_fixed_bin_sql('CAST(ld AS DOUBLE)')} AS len_bin,
+               CASE WHEN len(edges) > 2 THEN len(list_filter(edges[2:len(edges) - 1], lambda t: t < mf)) ELSE 0 END AS mf_q
+        FROM _b, _e)""")
+
+
+@register("numeric_block", _NUMERIC + f"""
+SELECT pair_id, len_bin, CAST(mf_q AS INTEGER) AS mf_quartile,
+       list_transform(list_concat(list_concat([CAST(l1 AS DOUBLE), CAST(l2 AS DOUBLE), CAST(ld AS DOUBLE)], {_onehot_sql('len_bin', 10)}),
+                                  list_concat([ln(1 + mf)], {_onehot_sql('mf_q', 4)})), lambda x: {R('x')}) AS numeric
+FROM _bb""")
+def numeric_block(spark, sf):
+    """Numeric block of 18 per pair: cleaned lengths, difference, its bin
+    one-hot, log1p of the minimum text frequency and its quartile one-hot
+    (X18-X22)."""
+    from paircraft.operators.features import numeric_block as nb
+    return nb(fx.doc_pairs(spark, sf))
+
+
+@register("raw_feature_block")
+def raw_feature_block(spark, sf):
+    """Native feature blocks joined on pair_id and concatenated (M4, J5):
+    word and char TF-IDF cosine, char/word count differences, Jaccard and the
+    numeric block -> 23 numbers per pair."""
+    from paircraft.functions.similarity import length_diffs
+    from paircraft.operators import tfidf
+    from paircraft.operators.features import numeric_block as nb, raw_features
+    kp = fx.keyed_pairs(spark, sf)
+    _, ww = fx.tfidf_fit(spark, sf, "word")
+    _, wc = fx.tfidf_fit(spark, sf, "char")
+    cw = tfidf.pair_cosine(kp, ww, out="cos_w").select("pair_id", "cos_w")
+    cc = tfidf.pair_cosine(kp, wc, out="cos_c").select("pair_id", "cos_c")
+    p = tables.drop_null_pairs(fx.doc_pairs(spark, sf))
+    fuzzy = p.select("pair_id", *length_diffs("question1", "question2"))
+    jac = _eda(spark, sf).select("pair_id", "jaccard")
+    num = nb(fx.doc_pairs(spark, sf)).select("pair_id", "numeric")
+    return raw_features([cw, cc, fuzzy, jac, num]).select("pair_id", "features", F.size("features").alias("width"))
