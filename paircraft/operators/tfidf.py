@@ -26,7 +26,11 @@ def term_frequencies(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     a plain ``explode`` makes the optimizer infer a ``size(terms) > 0``
     filter that re-inlines the whole n-gram expression below the projection
     (and evaluates the token regex once per n-gram)."""
-    return (docs.select(key, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
+    # Shuffle the (few, wide) document rows by key once instead of the many
+    # n-gram rows: hash partitioning on the key also satisfies the
+    # (key, term) aggregation and the per-key window of ``transform``.
+    return (docs.repartition(key).select(key, F.explode_outer(terms).alias("term"))
+                .where(F.col("term").isNotNull())
                 .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -76,12 +80,19 @@ def with_terms(df: DataFrame, text_col: str, analyzer: str, out: str = "terms")
     return T.with_char_ngrams(df, text_col, out, *CHAR_NGRAMS)
 
 
-def fit_pair_tfidf(qtab: DataFrame, analyzer: str = "word", text_col: str = "clean"):
+def pair_term_frequencies(qtab: DataFrame, analyzer: str = "word", text_col: str = "clean") -> DataFrame:
+    return term_frequencies(with_terms(qtab.select("qkey", text_col), text_col, analyzer), "qkey", F.col("terms"))
+
+
+def fit_pair_tfidf(qtab: DataFrame, analyzer: str = "word", text_col: str = "clean",
+                   tf: DataFrame | None = None):
     """Fit on a question table (qkey, clean): word n-grams 1-2 with
     ``min_df=3`` and sublinear tf, or char n-grams 3-5 with ``min_df=10`` (M1).
-    Returns (model, weights table of the corpus)."""
+    Returns (model, weights table of the corpus). ``tf`` may pass a ready
+    (qkey, term, tf) table."""
     min_df = WORD_MIN_DF if analyzer == "word" else CHAR_MIN_DF
-    tf = term_frequencies(with_terms(qtab.select("qkey", text_col), text_col, analyzer), "qkey", F.col("terms"))
+    if tf is None:
+        tf = pair_term_frequencies(qtab, analyzer, text_col)
     n = qtab.agg(F.count(F.lit(1))).scalar()
     model = fit_idf(tf, "qkey", n, min_df, sublinear=(analyzer == "word"))
     return model, model.transform(tf, "qkey")

@@ -231,8 +231,16 @@ def tfidf_fit(spark: SparkSession, sf_dir: str, analyzer: str = "word"):
     key = f"tfidf:{analyzer}:{sf_dir}"
     k = (spark.sparkContext.applicationId, key)
     if k not in _MEMO:
-        model, w = tfidf.fit_pair_tfidf(pair_questions(spark, sf_dir), analyzer)
-        vocab = materialize(spark, key + ":vocab", lambda: model.vocab)
-        weights = materialize(spark, key + ":w", lambda: w)
+        q = pair_questions(spark, sf_dir)
+        # the term counts feed both the vocabulary and the weights: keep them
+        # for the two materialisations only
+        tf = tfidf.pair_term_frequencies(q, analyzer).persist()
+        try:
+            model, w = tfidf.fit_pair_tfidf(q, analyzer, tf=tf)
+            vocab = materialize(spark, key + ":vocab", lambda: model.vocab)
+            weights = materialize(spark, key + ":w", lambda: tfidf.TfidfModel(vocab, model.sublinear)
+                                  .transform(tf, "qkey"))
+        finally:
+            tf.unpersist()
         _MEMO[k] = (tfidf.TfidfModel(vocab, model.sublinear), weights)
     return _MEMO[k]
