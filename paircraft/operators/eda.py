@@ -185,27 +185,26 @@ def describe(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def eda_cosine(pairs: DataFrame) -> DataFrame:
     """EDA cosine (M2): unigram TF-IDF with stop words removed, raw tf, smooth
     idf, **fitted on question1 only**, both sides transformed, L2 rows.
-    Both sides of a pair share ``pair_id``, so the dot product is one
-    aggregation on (pair_id, term) and one on pair_id. Returns (pair_id, cosine)."""
-    from pyspark.sql import Window
+
+    Work is per distinct text, not per pair side: texts are tokenised once;
+    the document frequency of a term is the sum, over question1 texts that
+    contain it, of how often the text occurs as question1 (the same count as
+    fitting on the question1 column); the pair dot product is the sparse
+    join of ``tfidf.pair_cosine``. Returns (pair_id, cosine)."""
     from paircraft.functions.text import drop_stop_words, word_tokens
-    sides = (pairs.select("pair_id", F.lit(1).alias("side"), F.col("question1").alias("t"))
-             .unionByName(pairs.select("pair_id", F.lit(2).alias("side"), F.col("question2").alias("t"))))
-    toks = sides.select("pair_id", "side", word_tokens("t").alias("_tk")) \
-                .select("pair_id", "side", F.explode_outer(drop_stop_words("_tk")).alias("term")) \
-                .where(F.col("term").isNotNull())
-    tf = toks.groupBy("pair_id", "side", "term").agg(F.count(F.lit(1)).alias("tf"))
+    from paircraft.operators import tfidf
+    from paircraft.operators.tables import distinct_questions, text_key
+    kp = pairs.select("pair_id", text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
+    texts = distinct_questions(pairs)
+    toks = (texts.select("qkey", word_tokens("question").alias("_tk"))
+                 .select("qkey", drop_stop_words("_tk").alias("terms")))
+    tf = tfidf.term_frequencies(toks, "qkey", F.col("terms"))
+    q1_mult = kp.groupBy(F.col("qkey1").alias("qkey")).agg(F.count(F.lit(1)).alias("m1"))
     n = pairs.agg(F.count(F.lit(1))).scalar()
-    vocab = (tf.where(F.col("side") == 1).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-               .select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    w0 = tf.join(vocab, "term").select("pair_id", "side", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pair_id", "side")))
-    w = w0.select("pair_id", "side", "term", (F.col("w") / norm).alias("w"))
-    per_term = w.groupBy("pair_id", "term").agg(
-        (F.sum(F.when(F.col("side") == 1, F.col("w"))) * F.sum(F.when(F.col("side") == 2, F.col("w")))).alias("prod"))
-    dots = per_term.groupBy("pair_id").agg(F.sum("prod").alias("_dot"))
-    return (pairs.select("pair_id").join(dots, "pair_id", "left")
-                 .select("pair_id", F.coalesce("_dot", F.lit(0.0)).alias("cosine")))
+    df = tf.join(q1_mult, "qkey").groupBy("term").agg(F.sum("m1").alias("df"))
+    vocab = df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    w = tfidf.TfidfModel(vocab, sublinear=False).transform(tf, "qkey")
+    return tfidf.pair_cosine(kp, w).select("pair_id", "cosine")
 
 
 def eda_table(pairs: DataFrame) -> DataFrame:
