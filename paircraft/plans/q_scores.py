@@ -274,3 +274,25 @@ def clean_text(spark, sf):
     count (X7, X9): stems computed once per distinct token."""
     from paircraft.operators.stemming import question_meta
     return question_meta(fx.pair_questions(spark, sf))
+
+
+@register("refit_top_subsets")
+def refit_top_subsets(spark, sf):
+    """Refit the gate of the three best subsets (by blended log-loss on the
+    train split) on train + valid and score the test split (G6, U2, T2):
+    (subset, rank, test_log_loss)."""
+    from paircraft.operators.metrics import binary_metrics
+    from paircraft.operators.split import group_split
+    m = _matrix(spark, sf).join(group_split(fx.doc_pairs(spark, sf)).select("pair_id", "split"), "pair_id")
+    train = m.where(F.col("split") == "train")
+    trval = train.unionByName(m.where(F.col("split") == "valid"))
+    test = m.where(F.col("split") == "test")
+    ll = gate.mean_blend_losses(train, NAMES, "y", NAMES).orderBy("log_loss", "subset").limit(3).collect()
+    out = []
+    for rank, row in enumerate(ll, start=1):
+        members = row.subset.split("+")
+        f = gate.fit(trval, members, "y", lr=0.05, epochs=5)
+        scored = gate.predict(test, members, f.W, f.b, "p")
+        r = binary_metrics(scored, "p", "y").first()
+        out.append((row.subset, rank, float(r.log_loss) if r else float("nan")))
+    return spark.createDataFrame(out, "subset string, rank int, test_log_loss double")
