@@ -57,7 +57,7 @@ SELECT qid, nid, {R('dist')} AS dist, rank FROM _r WHERE rank <= 10""")
 def knn_join(spark, sf):
     """Exact 10 nearest neighbours of every stored vector among the others."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return knn.knn_join(e, e, k=10, blocks=4).select("qid", "nid", "dist", F.col("rank").cast("long").alias("rank"))
+    return knn.knn_join(e, e, k=10).select("qid", "nid", "dist", F.col("rank").cast("long").alias("rank"))
 
 
 @register("knn_vote", VP + f""",
@@ -73,7 +73,7 @@ def knn_vote(spark, sf):
     vectors [|u-v|, u*v] (M9)."""
     p = fx.vector_pairs(spark, sf).select(F.col("qid1").alias("id"), F.col("is_duplicate").alias("y"),
                                            pair_vector("u", "v", two_part=True).alias("vec"))
-    neigh = knn.knn_join(p, p, k=10, blocks=4)
+    neigh = knn.knn_join(p, p, k=10)
     return knn.knn_vote(neigh, p)
 
 
