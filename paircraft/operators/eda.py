@@ -213,9 +213,14 @@ def eda_table(pairs: DataFrame) -> DataFrame:
     from paircraft.functions.similarity import set_jaccard
     from paircraft.functions.text import jaccard_token_set
     from paircraft.operators.tables import attach_min_freq, item_frequency, pair_lengths
+    from paircraft.operators.tables import distinct_questions, text_key
     base = pairs.dropna(subset=["question1", "question2"])
-    sets = base.select("*", jaccard_token_set("question1").alias("_s1"), jaccard_token_set("question2").alias("_s2"))
-    j = sets.withColumn("jaccard", set_jaccard("_s1", "_s2")).drop("_s1", "_s2")
+    # token sets once per distinct text, gathered for both sides by key
+    sets = distinct_questions(base).select("qkey", jaccard_token_set("question").alias("_s"))
+    j = (base.withColumn("_k1", text_key("question1")).withColumn("_k2", text_key("question2"))
+             .join(sets.select(F.col("qkey").alias("_k1"), F.col("_s").alias("_s1")), "_k1")
+             .join(sets.select(F.col("qkey").alias("_k2"), F.col("_s").alias("_s2")), "_k2")
+             .withColumn("jaccard", set_jaccard("_s1", "_s2")).drop("_s1", "_s2", "_k1", "_k2"))
     lens = pair_lengths(j).drop("word_diff")
     freq = item_frequency(base)
     mf = attach_min_freq(lens, freq).drop("freq1", "freq2")
