@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, partitions: int | None = None,
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("PAIRCRAFT_DRIVER_MEM", "16g"))
          .config("spark.ui.enabled", "false")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.showConsoleProgress", "false"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
