@@ -178,9 +178,6 @@ def spearman_vs_config(spark, sf):
     return row.selectExpr(f"stack({len(_M)}, {stack}) as (metric, rho_lr, rho_epochs)")
 
 
-_ABBR_SQL = "MAP {" + ", ".join(f"{O.lit(k)}: {O.lit(v)}" for k, v in metrics.MEMBER_ABBR.items()) + "}"
-
-
 @register("benchmark_leaderboard", RUNS + f"""
 SELECT run_id, model, {R('test_LL')} AS test_LL, {R('test_ACC')} AS test_ACC, {R('test_F1')} AS test_F1,
        row_number() OVER (ORDER BY test_LL, test_ACC DESC, test_F1 DESC, run_id) AS rank FROM runs""")
@@ -191,7 +188,7 @@ def benchmark_leaderboard(spark, sf):
 
 
 @register("benchmark_pretty", RUNS + f"""
-SELECT run_id, array_to_string(list_transform(string_split(model, '+'), lambda p: p), '+') AS model,
+SELECT run_id, array_to_string(list_transform(string_split(model, '+'), lambda p: upper(substring(p, 1, 2))), '+') AS model,
        array_to_string(list_transform(string_split(model, '+'), lambda p: upper(substring(p, 1, 1))), '+') AS short,
        printf('%.2f', seconds) AS seconds, printf('%.6f', {R('test_LL')}) AS test_LL,
        printf('%.6f', {R('test_ACC')}) AS test_ACC, printf('%.6f', {R('test_F1')}) AS test_F1 FROM runs""")
@@ -199,7 +196,7 @@ def benchmark_pretty(spark, sf):
     """Selected, renamed, fixed-precision columns and abbreviated member names
     (F7, F8)."""
     r = fx.runs(spark, sf)
-    return r.select("run_id", metrics.abbreviate("model").alias("model"), metrics.first_letters("model").alias("short"),
+    return r.select("run_id", metrics.abbreviate("model", 2).alias("model"), metrics.abbreviate("model", 1).alias("short"),
                     F.format_string("%.2f", "seconds").alias("seconds"),
                     *[F.format_string("%.6f", round6(c)).alias(c) for c in ("test_LL", "test_ACC", "test_F1")])
 

@@ -1,15 +1,13 @@
 """Schemas and constants.
 
-Large tables (stop words, Unicode fold tables) are derived at import time from
-a rule or from Spark's own resources, never typed in.
+The Unicode fold tables are derived from a rule, never typed in; nothing here
+reads a file or needs a session.
 """
 
 from __future__ import annotations
 
 import functools
-import os
 import unicodedata
-import zipfile
 
 from pyspark.sql import types as T
 
@@ -50,23 +48,29 @@ TOKEN_RE = r"[a-z0-9']+|\?"
 JACCARD_TOKEN_RE = r"[a-z0-9']+"
 # Learning-rate grid of the gate search.
 GATE_LR_GRID = [1e-3, 5e-3, 1e-2, 5e-2]
-# Metric-log kinds.
-LOG_KINDS = ["splits", "eda", "preprocessing", "features", "models", "gates", "benchmarks"]
-# Short names of ensemble members for pretty tables.
-MEMBER_ABBR = {"BERT": "B", "RoBERTa": "R", "QuoraDistil": "QD", "CrossEnc": "CE"}
 
 
-@functools.lru_cache(maxsize=None)
+# Spark's English stop-word list, as
+# ``StopWordsRemover.loadDefaultStopWords("english")`` returns it (a test compares them).
+_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his
+himself she her hers herself it its itself they them their theirs themselves what which
+who whom this that these those am is are was were be been being have has had having do
+does did doing a an the and but if or because as until while of at by for with about
+against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each
+few more most other some such no nor not only own same so than too very s t can will
+just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't
+wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
+shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+what's when's where's who's why's would
+"""
+
+
 def stop_words() -> tuple[str, ...]:
-    """Spark's English stop-word list, read from the MLlib jar (the same file
-    ``StopWordsRemover.loadDefaultStopWords('english')`` returns)."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jar = next(os.path.join(jars, j) for j in sorted(os.listdir(jars))
-               if j.startswith("spark-mllib_") and j.endswith(".jar"))
-    with zipfile.ZipFile(jar) as z:
-        txt = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf8")
-    return tuple(w for w in txt.split() if w)
+    """English stop words (no file or session is needed)."""
+    return tuple(_STOP_WORDS.split())
 
 
 @functools.lru_cache(maxsize=None)
