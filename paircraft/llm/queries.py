@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paircraft.llm import bpe, minhash, packing, warc
+from paircraft.llm import bpe, minhash, packing, secrets, warc
 from paircraft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text; a source is an owner, its part in one language a repository."""
+    return secrets.report(table(spark, sf_dir, "documents"), F.col("source"), F.struct("source", "lang"))
+
+
+ORACLE["op3_secrets"] = secrets.oracle()
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 ids."""
