@@ -53,6 +53,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f)["added_tokens"]]
         self.cache: dict[bytes, bytes] = {}
+        self._learn([b".", b","])
+        self.mark = dict(self.cache)
 
     def _learn(self, new: list[bytes]) -> None:
         known = self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
@@ -68,7 +70,12 @@ class WordBpe:
             # a text that spells a special token is encoded whole, without the cache
             whole = t and any(a in t for a in self.added)
             parts.append(None if whole else (t or "").encode().lower().split())
-        self._learn(list(set().union(*(p for p in parts if p)) - self.cache.keys()))
+        new = set().union(*(p for p in parts if p)) - self.cache.keys()
+        # a full stop or comma after a letter is always a piece of its own
+        ended = {w for w in new if w[-1] in b".," and w[-2:-1].isalpha()}
+        self._learn(list((new - ended).union(w[:-1] for w in ended) - self.cache.keys()))
+        for w in ended:
+            self.cache[w] = self.cache[w[:-1]] + self.mark[w[-1:]]
         get = self.cache.__getitem__
         for t, p in zip(texts, parts, strict=True):
             out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
