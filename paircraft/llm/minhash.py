@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paircraft.llm.common import WordCodes, mix, n_parts, shingles, slices, words
+from paircraft.llm.common import WordCodes, cut, mix, n_parts, shingles, slices, words
+from paircraft.llm.jaccard_join import link
 
 PERMUTATIONS = 128
 BANDS = 32
@@ -191,25 +193,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     at least ``threshold`` whose signatures share a band; component_id is the
     smallest id that links reach. At 32 bands of 4 rows a pair of similarity
     0.75 is found with probability 0.99999."""
-    from paircraft.llm import jaccard_join as jj
-
-    sets = jj.shingle_sets(docs, id_col, text_col)
     rows = PERMUTATIONS // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Signer()
         for b in slices(batches):
-            ids, sets_ = b.column(0).to_pylist(), [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
-            keys = [s.minima(x).reshape(bands, rows) for x in sets_]
+            sets = [np.unique(shingles(s.codes.of(words(t)))) for t in b.column(1).to_pylist()]
             hashed = []
-            for k in keys:
-                h = np.arange(bands, dtype=np.uint64)
+            for x in sets:
+                m, h = s.minima(x).reshape(bands, rows), np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
-                    h = mix(h ^ k[:, r])
+                    h = mix(h ^ m[:, r])
                 hashed.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.array(ids, np.int64), bands)),
-                pa.array(np.concatenate(hashed))], ["rep", "key"])
-
-    keys = sets.reps.where("n_shingles > 0").select("rep", "shingles").mapInArrow(run, "rep bigint, key bigint")
-    return jj.components(sets, keys, threshold, id_col)
+                b.column(0), pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64()),
+                pa.array([len(x) for x in sets], pa.int32()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                pa.array(hashed, pa.list_(pa.int64()))], ["id", "node", "n", "keys", "bands"])
+
+    told = cut(docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(
+        run, "id bigint, node bigint, n int, keys array<bigint>, bands array<bigint>"))
+    nodes = told.where("n > 0").dropDuplicates(["node"])
+    found = link(nodes.select("node", "n", "keys"), nodes.select(F.explode("bands").alias("key"), "node"), round(100 * threshold))
+    named = told.select("id", "n", F.col("node").alias("set")).join(
+        found.withColumnRenamed("node", "linked"), F.col("set") == F.col("linked"), "left")
+    named = named.select("id", "n", F.coalesce("component", "set").alias("class"))
+    first = named.where("n > 0").groupBy("class").agg(F.min("id").alias("component_id"))
+    return named.where("n > 0").join(first, "class").select(F.col("id").alias(id_col), "component_id").unionByName(
+        named.where("n = 0").select(F.col("id").alias(id_col), F.col("id").alias("component_id")))
