@@ -221,7 +221,7 @@ def split_by_pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     pivots = members.join(ranked, ["region", "node"]).groupBy("region").agg(
         F.collect_list(F.struct("node", "n", "keys")).alias("pivots"))
     salts = members.select("region", salt.alias("salt")).distinct()
-    given = pivots.join(salts, "region")
+    given = pivots.join(salts, "region").select(F.col("region").alias("p_region"), F.col("salt").alias("p_salt"), "pivots")
     schema = "region bigint, node bigint, n int, keys array<bigint>, pivot bigint, near boolean"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -241,7 +241,7 @@ def split_by_pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFr
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                     ["region", "node", "n", "keys", "pivot", "near"])
 
-    dealt = members.withColumn("salt", salt).groupBy("region", "salt").cogroup(given.groupBy("region", "salt"))
+    dealt = members.withColumn("salt", salt).groupBy("region", "salt").cogroup(given.groupBy("p_region", "p_salt"))
     placed = cut(dealt.applyInArrow(run, schema))
     edges = placed.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     return placed.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "keys"), edges
