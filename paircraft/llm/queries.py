@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paircraft.llm import bpe, jaccard_join, minhash, packing, quality, secrets, warc
+from paircraft.llm import bpe, jaccard_join, langid, line_dedup, minhash, packing, quality, secrets, warc
 from paircraft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text; a source is an owner, its part in one language a repository."""
@@ -46,6 +52,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines of every document; a source is a site."""
+    return line_dedup.report(table(spark, sf_dir, "documents"), F.col("source"))
+
+
+ORACLE["op7_line_dedup"] = line_dedup.oracle()
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and a learned decision list's verdict of every document."""
