@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paircraft.llm import bpe, jaccard_join, langid, line_dedup, minhash, packing, quality, secrets, warc
+from paircraft.llm import bpe, jaccard_join, langid, line_dedup, minhash, ngram_lm, packing, quality, secrets, warc
 from paircraft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every text under a backoff automaton of the training texts."""
+    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines of every document; a source is a site."""
