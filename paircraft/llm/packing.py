@@ -36,6 +36,8 @@ WINDOW = 4096
 END_ID = 2
 #: Open windows of a task before they are settled (bounds its memory: a window's ids take 16 kB).
 MAX_OPEN = 2048
+#: Words that are encoded as one string.
+JOINED = 150
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -52,14 +54,32 @@ class WordBpe:
         self.model = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.ends_word = np.zeros(self.model.get_vocab_size(), bool)
+        for piece, i in self.model.get_vocab().items():
+            self.ends_word[i] = piece.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
         self._learn([b".", b","])
         self.mark = dict(self.cache)
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, new: list[bytes]) -> None:
-        known = self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, known, strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        """Words of letters alone are encoded many to a string, as each of
+        them ends with its first id that carries the word's end."""
+        shown = [w.decode() for w in new]
+        plain = [w for w in shown if w.isalpha()]
+        ids = np.concatenate(self._encode([" ".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)]) or [np.empty(0, "<u4")])
+        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(ends) != len(plain):  # a letter that the vocabulary takes apart
+            plain, ends = [], []
+        raw, begin = ids.tobytes(), 0
+        for w, end in zip(plain, ends, strict=True):
+            self.cache[w.encode()] = raw[begin:end]
+            begin = end
+        rest = [w for w in shown if w.encode() not in self.cache]
+        for w, x in zip(rest, self._encode(rest), strict=True):
+            self.cache[w.encode()] = x.tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
