@@ -20,8 +20,10 @@ table makes archives without records. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ from paircraft.session import ensure_checkpoint_dir
 
 MIN_BYTES = 0
 CHUNK = 1 << 20
+LEVEL = 1
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -78,6 +81,22 @@ def one_line(value: str | None) -> str | None:
     return None if value is None else " ".join(value.split())
 
 
+class Member:
+    """One gzip member of an archive, compressed as it is written."""
+
+    def __init__(self, out):
+        self.out, self.z = out, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+
+    def write(self, data) -> None:
+        self.out.write(self.z.compress(data))
+
+    def __enter__(self) -> Member:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.out.write(self.z.flush())
+
+
 def write_record(out, page_id, url, payload: bytes, sha_hex: str, kind: str, refers_to, chunk: int) -> None:
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8",
                       b"Content-Length: %d" % len(payload)]) + CRLF + CRLF
@@ -112,16 +131,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
         ctx = TaskContext.get()
-        name = f"part-{ctx.partitionId():06d}.warc"
+        name = f"part-{ctx.partitionId():06d}.warc.gz"
         tmp, n = f"{base}/_{name}.{ctx.taskAttemptId()}", 0
         with where.open_output_stream(tmp) as out:
-            out.write(header_lines([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>"),
-                                    ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Length", 0)]) + CRLF + CRLF)
+            with Member(out) as m:
+                m.write(header_lines([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>"),
+                                      ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Length", 0)]) + CRLF + CRLF)
             for b in batches:
                 for i in range(b.num_rows):
                     page, url, payload, sha, kind, ref = (c[i] for c in b.columns)
-                    write_record(out, page.as_py(), url.as_py(), payload.as_buffer(), sha.as_py(), kind.as_py(),
-                                 ref.as_py(), chunk)
+                    with Member(out) as m:
+                        write_record(m, page.as_py(), url.as_py(), payload.as_buffer(), sha.as_py(), kind.as_py(),
+                                     ref.as_py(), chunk)
                     n += 1
         where.move(tmp, f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["path", "n"])
@@ -220,7 +241,7 @@ def read_chunks(spark: SparkSession, archives: list[str], chunk: int = CHUNK, wi
             for path in b.column(0).to_pylist():
                 where, at = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with where.open_input_stream(at) as f:
+                with where.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
                     for r in read_records(f, path, chunk):
                         rows.append(r if with_data else (*r[:8], None, *r[9:]))
                         held += len(r[8]) if with_data else 0
