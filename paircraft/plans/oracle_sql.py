@@ -105,15 +105,12 @@ def word_tokens(expr: str) -> str:
 # ---------------------------------------------------------------- fixtures
 DOC_PAIRS = """
 _d AS (SELECT doc_id, text, lang, source FROM documents),
-_qb AS (SELECT doc_id, substring(text, 1, 40) AS blk,
-               count(*) OVER (PARTITION BY substring(text, 1, 40)) AS bn
+_qb AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS blk
         FROM documents WHERE text IS NOT NULL),
 _cand AS (
-  SELECT a.doc_id AS qid1, b.doc_id AS qid2 FROM _qb a JOIN _qb b
-    ON a.blk = b.blk AND a.doc_id < b.doc_id WHERE a.bn BETWEEN 2 AND 10
-  UNION
-  SELECT qid1, qid2 FROM (SELECT doc_id AS qid1, lead(doc_id) OVER (PARTITION BY blk ORDER BY doc_id) AS qid2
-                          FROM _qb WHERE bn > 10) WHERE qid2 IS NOT NULL
+  SELECT least(a, b) AS qid1, greatest(a, b) AS qid2
+  FROM (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY blk ORDER BY doc_id) AS b FROM _qb)
+  WHERE b IS NOT NULL
   UNION
   SELECT least(a, b) AS qid1, greatest(a, b) AS qid2
   FROM (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY lang, source ORDER BY doc_id) AS b FROM _d)

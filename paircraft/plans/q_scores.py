@@ -120,30 +120,49 @@ def score_pairs(spark, sf):
 
 
 # ---------------------------------------------------------------- rows-only (R)
+def _split_matrix(spark, sf):
+    """Score matrix by split: (train, valid, test)."""
+    from paircraft.operators.split import group_split
+    m = _matrix(spark, sf).join(group_split(fx.pair_ids(spark, sf)).select("pair_id", "split"), "pair_id")
+    return tuple(m.where(F.col("split") == x) for x in ("train", "valid", "test"))
+
+
 @register("gate_fit")
 def gate_fit(spark, sf):
-    """Full-batch Adam fit of the softmax gate on the expert scores (G2, G3);
-    returns the learned parameters as a table."""
-    fitted = gate.fit(_matrix(spark, sf), NAMES, "y", lr=0.05, epochs=15)
+    """Full-batch Adam fit of the softmax gate on the training scores until
+    its early stop on the validation split (G2, G3): the best parameters."""
+    train, valid, _ = _split_matrix(spark, sf)
+    fitted = gate.fit(train, NAMES, "y", lr=0.05, epochs=100, valid=valid)
     rows = [("W", i, j, float(fitted.W[i][j])) for i in range(K) for j in range(K)]
     rows += [("b", i, 0, float(fitted.b[i])) for i in range(K)]
     return spark.createDataFrame(rows, "param string, i int, j int, value double")
 
 
+def _search(spark, sf):
+    """Gates of all subsets x learning rates, fitted together on the training
+    rows for up to 200 epochs; the rate stays as it is (G5, G7)."""
+    from paircraft.schema import GATE_LR_GRID
+    train, valid, _ = _split_matrix(spark, sf)
+    gates = [(m, lr) for m in gate.masks(K) for lr in GATE_LR_GRID]
+    return gate.fit_many(train, NAMES, "y", gates, epochs=200, lr_patience=None, valid=valid)
+
+
 @register("grid_search")
 def grid_search(spark, sf):
-    """Learning-rate grid with early stopping on the validation split (G7):
-    (lr, best_epoch, valid_log_loss) per grid point."""
-    from paircraft.operators.split import group_split
-    from paircraft.schema import GATE_LR_GRID
-    m = _matrix(spark, sf).join(group_split(fx.doc_pairs(spark, sf)).select("pair_id", "split"), "pair_id")
-    tr = m.where(F.col("split") != "valid")
-    va = m.where(F.col("split") == "valid")
-    out = []
-    for lr in GATE_LR_GRID:
-        f = gate.fit(tr, NAMES, "y", lr=lr, epochs=8, patience=5, valid=va)
-        out.append((float(lr), int(f.best_epoch), float(min(f.losses))))
-    return spark.createDataFrame(out, "lr double, best_epoch int, valid_log_loss double")
+    """(subset, lr, best_epoch, valid_log_loss) of every subset and learning rate."""
+    out = [(gate.subset_key(NAMES, f.members), f.lr, f.best_epoch, float(f.best)) for f in _search(spark, sf)]
+    return spark.createDataFrame(out, "subset string, lr double, best_epoch int, valid_log_loss double")
+
+
+@register("subset_search")
+def subset_search(spark, sf):
+    """Best rate, epoch and validation loss of each subset's trained gate."""
+    best = {}
+    for f in _search(spark, sf):
+        if f.members not in best or f.best < best[f.members].best:
+            best[f.members] = f
+    out = [(gate.subset_key(NAMES, m), len(m), f.lr, f.best_epoch, float(f.best)) for m, f in best.items()]
+    return spark.createDataFrame(out, "subset string, k int, lr double, best_epoch int, valid_log_loss double")
 
 
 _FEATS = ["q1_len", "q2_len", "len_diff", "jaccard", "cosine", "min_freq"]
@@ -155,41 +174,41 @@ def _expert_frames(spark, sf):
     e = fx.eda_pairs(spark, sf).select("pair_id", "qid1", "qid2", *_FEATS, F.col("is_duplicate").alias("label"))
     e = group_split(e).drop("grp", "bucket")
     e = feature_vector(e, _FEATS)
-    train = balanced_weights(e.where(F.col("split") != "test"), "label", "w")
+    train = balanced_weights(e.where(F.col("split") == "train"), "label", "w")
     return train, e
 
 
 def _run_expert(spark, sf, kind, **params):
-    from paircraft.operators.experts import expert_pipeline, positive_probability
+    from paircraft.operators.experts import expert_pipeline, positive_probability, reduced_size
     train, allp = _expert_frames(spark, sf)
     n = train.count()  # one number: the regularisation is 1/n
-    model = expert_pipeline(kind, n, 3, params).fit(train)
+    model = expert_pipeline(kind, n, reduced_size(train, "features"), params).fit(train)
     return positive_probability(model.transform(allp)).select("pair_id", "split", "p")
 
 
 @register("expert_lr")
 def expert_lr(spark, sf):
     """Balanced logistic regression on the PCA-reduced pair features."""
-    return _run_expert(spark, sf, "lr", maxIter=100)
+    return _run_expert(spark, sf, "lr")
 
 
 @register("expert_gbt")
 def expert_gbt(spark, sf):
-    """Boosted trees, depth 7, rate 0.05, row/column sample 0.9 (M7); 20
-    rounds here, 400 in full runs."""
-    return _run_expert(spark, sf, "gbt", maxIter=20)
+    """Boosted trees, depth 7, rate 0.05, row/column sample 0.9, 400
+    rounds (M7)."""
+    return _run_expert(spark, sf, "gbt")
 
 
 @register("expert_gbt_deep")
 def expert_gbt_deep(spark, sf):
-    """Deeper boosted trees (M8); 20 rounds here, 600 in full runs."""
-    return _run_expert(spark, sf, "gbt_deep", maxIter=20)
+    """Deeper boosted trees of 600 rounds (M8)."""
+    return _run_expert(spark, sf, "gbt_deep")
 
 
 @register("expert_rf")
 def expert_rf(spark, sf):
-    """Random forest, leaf >= 2 (M10); 20 trees here, 200 in full runs."""
-    return _run_expert(spark, sf, "rf", numTrees=20, maxDepth=10)
+    """Random forest of 200 trees, depth 30, leaf >= 2."""
+    return _run_expert(spark, sf, "rf")
 
 
 @register("expert_svm_calibrated")
@@ -206,23 +225,27 @@ def expert_pair_vector_lr(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from paircraft.functions.similarity import pair_vector
-    p = fx.vector_pairs(spark, sf)
-    d = p.select("pair_id", F.col("is_duplicate").cast("double").alias("label"),
+    from paircraft.operators.split import group_split
+    p = group_split(fx.vector_pairs(spark, sf))
+    d = p.select("pair_id", "split", F.col("is_duplicate").cast("double").alias("label"),
                  array_to_vector(pair_vector("u", "v", two_part=True)).alias("features"))
-    n = d.agg(F.count(F.lit(1))).first()[0]
-    m = LogisticRegression(regParam=1.0 / max(n, 1), maxIter=200).fit(d)
-    return m.transform(d).select("pair_id", vector_to_array("probability")[1].alias("p"))
+    train = d.where(F.col("split") == "train")
+    n = train.agg(F.count(F.lit(1))).first()[0]
+    m = LogisticRegression(regParam=1.0 / max(n, 1), maxIter=1000, standardization=False).fit(train)
+    return m.transform(d).select("pair_id", "split", vector_to_array("probability")[1].alias("p"))
 
 
 @register("pca_projection")
 def pca_projection(spark, sf):
-    """Centre then PCA to k=3 components of the pair features (M5)."""
+    """Centre and PCA, fitted on the training rows, to the components that
+    hold 95% of the variance (M5, W2)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import vector_to_array
-    _, allp = _expert_frames(spark, sf)
+    from paircraft.operators.experts import reduced_size
+    train, allp = _expert_frames(spark, sf)
     pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="c", withMean=True, withStd=False),
-                            PCA(k=3, inputCol="c", outputCol="pca")]).fit(allp)
+                            PCA(k=reduced_size(train, "features"), inputCol="c", outputCol="pca")]).fit(train)
     return pipe.transform(allp).select("pair_id", vector_to_array("pca").alias("pca"))
 
 
@@ -278,21 +301,18 @@ def clean_text(spark, sf):
 
 @register("refit_top_subsets")
 def refit_top_subsets(spark, sf):
-    """Refit the gate of the three best subsets (by blended log-loss on the
-    train split) on train + valid and score the test split (G6, U2, T2):
-    (subset, rank, test_log_loss)."""
+    """The ten (subset, rate) gates of lowest validation loss, fitted again on
+    train + valid for their best number of epochs, and their test loss (G6,
+    U2, T2)."""
     from paircraft.operators.metrics import binary_metrics
-    from paircraft.operators.split import group_split
-    m = _matrix(spark, sf).join(group_split(fx.doc_pairs(spark, sf)).select("pair_id", "split"), "pair_id")
-    train = m.where(F.col("split") == "train")
-    trval = train.unionByName(m.where(F.col("split") == "valid"))
-    test = m.where(F.col("split") == "test")
-    ll = gate.mean_blend_losses(train, NAMES, "y", NAMES).orderBy("log_loss", "subset").limit(3).collect()
+    train, valid, test = _split_matrix(spark, sf)
+    top = sorted(_search(spark, sf), key=lambda f: (f.best, gate.subset_key(NAMES, f.members), f.lr))[:10]
+    both = train.unionByName(valid)
     out = []
-    for rank, row in enumerate(ll, start=1):
-        members = row.subset.split("+")
-        f = gate.fit(trval, members, "y", lr=0.05, epochs=5)
-        scored = gate.predict(test, members, f.W, f.b, "p")
-        r = binary_metrics(scored, "p", "y").first()
-        out.append((row.subset, rank, float(r.log_loss) if r else float("nan")))
-    return spark.createDataFrame(out, "subset string, rank int, test_log_loss double")
+    for rank, f in enumerate(top, start=1):
+        members = [NAMES[i] for i in f.members]
+        g = gate.fit(both, members, "y", lr=f.lr, epochs=f.best_epoch + 1, patience=f.best_epoch + 2, min_delta=0.0,
+                     lr_patience=None)
+        r = binary_metrics(gate.predict(test, members, g.W, g.b, "p"), "p", "y").first()
+        out.append((gate.subset_key(NAMES, f.members), f.lr, f.best_epoch, rank, float(r.log_loss) if r else float("nan")))
+    return spark.createDataFrame(out, "subset string, lr double, best_epoch int, rank int, test_log_loss double")

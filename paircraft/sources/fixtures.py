@@ -8,7 +8,7 @@ Texts are used whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paircraft.plans.ordered import next_in_group
@@ -32,58 +32,56 @@ def materialize(spark: SparkSession, key: str, build) -> DataFrame:
     return df
 
 
-BLOCK_PREFIX = 40      # candidate block key: first 40 characters of the text
-BLOCK_ALL_PAIRS = 10   # blocks up to this size emit all pairs, larger ones a chain
-
-
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, question, lang, source): one row per document, whole text."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("qid"), F.col("text").alias("question"), "lang", "source")
 
 
+#: Characters that count for a block: everything else becomes one space.
+BLOCK_KEEP = "[^a-z0-9]+"
+
+
+def block_key(text) -> Column:
+    """Block of a text: the hash of the whole text in lower case, ASCII letters and digits only."""
+    return F.sha2(F.regexp_replace(F.lower(text), BLOCK_KEEP, " ").cast("binary"), 256)
+
+
 def pair_candidates(docs: DataFrame) -> DataFrame:
-    """(qid1, qid2) candidate pairs, qid1 < qid2, distinct:
-
-    1. documents sharing the first 40 characters: all pairs inside blocks of
-       2-10 documents; in larger blocks each document is paired with the next
-       one by id, so a hot block costs linear, not quadratic, work;
-    2. neighbours: each document with the next id of the same (lang, source).
-    """
-    q = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", F.substring("text", 1, BLOCK_PREFIX).alias("blk"))
-    sizes = q.groupBy("blk").agg(F.count(F.lit(1)).alias("bn"))
-    qb = q.join(sizes, "blk")
-    small = qb.where(F.col("bn").between(2, BLOCK_ALL_PAIRS)).select("blk", "doc_id")
-    a, b = small.alias("a"), small.alias("b")
-    in_block = (a.join(b, (F.col("a.blk") == F.col("b.blk")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-                 .select(F.col("a.doc_id").alias("qid1"), F.col("b.doc_id").alias("qid2")))
-    chain = (next_in_group(qb.where(F.col("bn") > BLOCK_ALL_PAIRS).select("blk", "doc_id"),
-                           ["blk"], "doc_id", "nxt")
-             .where(F.col("nxt").isNotNull())
-             .select(F.col("doc_id").alias("qid1"), F.col("nxt").alias("qid2")))
-    nb = (next_in_group(docs.select("lang", "source", "doc_id"), ["lang", "source"], "doc_id", "nxt")
-          .where(F.col("nxt").isNotNull())
-          .select(F.least("doc_id", "nxt").alias("qid1"), F.greatest("doc_id", "nxt").alias("qid2")))
-    return in_block.unionByName(chain).unionByName(nb).distinct()
+    """(qid1, qid2) candidate pairs, qid1 < qid2, distinct, by one rule for
+    every size: each document with the next id of its block (equal whole
+    texts but for case, punctuation and accents), and with the next id of the
+    same (lang, source). Linear work for hot blocks; ids only."""
+    blocks = docs.where(F.col("text").isNotNull()).select(block_key(F.col("text")).alias("blk"), "doc_id")
+    chains = [next_in_group(blocks, ["blk"], "doc_id", "nxt"),
+              next_in_group(docs.select("lang", "source", "doc_id"), ["lang", "source"], "doc_id", "nxt")]
+    a, b = (c.where(F.col("nxt").isNotNull()).select(F.least("doc_id", "nxt").alias("qid1"),
+                                                     F.greatest("doc_id", "nxt").alias("qid2")) for c in chains)
+    return a.unionByName(b).distinct()
+
+
+def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, qid1, qid2): the narrow pair table, built once per application."""
+    def build():
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+        return pair_candidates(docs).select(
+            F.concat_ws("-", F.col("qid1").cast("string"), F.col("qid2").cast("string")).alias("pair_id"), "qid1", "qid2")
+    return materialize(spark, f"pair_ids:{sf_dir}", build)
 
 
 def attach_texts(cand: DataFrame, docs: DataFrame) -> DataFrame:
     d1 = docs.select(F.col("doc_id").alias("qid1"), F.col("text").alias("question1"))
     d2 = docs.select(F.col("doc_id").alias("qid2"), F.col("text").alias("question2"))
     return (cand.join(d1, "qid1").join(d2, "qid2")
-            .select(F.concat_ws("-", F.col("qid1").cast("string"), F.col("qid2").cast("string")).alias("pair_id"),
-                    "qid1", "qid2", "question1", "question2",
+            .select("pair_id", "qid1", "qid2", "question1", "question2",
                     (F.col("question1") == F.col("question2")).cast("int").alias("is_duplicate")))
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, qid1, qid2, question1, question2, is_duplicate); the label is
-    1 when the two whole texts are equal."""
-    def build():
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-        return attach_texts(pair_candidates(docs), docs)
-    return materialize(spark, f"doc_pairs:{sf_dir}", build)
+    1 when the two whole texts are equal. Texts are joined at use."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return attach_texts(pair_ids(spark, sf_dir), docs)
 
 
 def doc_pairs_null(spark: SparkSession, sf_dir: str) -> DataFrame:
