@@ -47,9 +47,9 @@ def top_k(df: DataFrame, k: int, order: Sequence, by: Sequence[str] = ()) -> Dat
         # row_number over the k-row result only
         top = df.orderBy(*order).limit(k)
         w = Window.orderBy(*order)
-        return top.withColumn("rank", F.row_number().over(w))
+        return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def top_words(df: DataFrame, k: int = 20) -> DataFrame:
@@ -85,7 +85,7 @@ def corr_with_label(df: DataFrame, cols: Sequence[str], label: str = "is_duplica
     long = row.selectExpr(f"stack({len(cols)}, {stack}) as (feature, corr)")
     from pyspark.sql import Window
     w = Window.orderBy(F.abs("corr").desc_nulls_last(), F.col("feature"))
-    return long.withColumn("rank", F.row_number().over(w))  # len(cols) rows
+    return long.withColumn("rank", F.row_number().over(w).cast("bigint"))  # len(cols) rows
 
 
 def dup_rate_by_quantile(df: DataFrame, col: str, q: int = 10,

@@ -255,7 +255,7 @@ def parse_run_key(spark, sf):
     return k.select("run_id", "key", model.alias("model"),
                     F.regexp_extract("core", "_lr([0-9.]+)_ep", 1).cast("double").alias("lr"),
                     F.regexp_extract("core", "_ep([0-9]+)$", 1).cast("int").alias("epochs"),
-                    F.size(F.split(model, r"\+")).alias("n_members"))
+                    F.size(F.split(model, r"\+")).cast("bigint").alias("n_members"))
 
 
 @register("content_fingerprint", RUNS + """,

@@ -94,4 +94,4 @@ def k95_components(spark, sf):
     c = v.select("i", "var", (F.sum("var").over(w.rowsBetween(Window.unboundedPreceding, 0)) /
                               F.sum("var").over(Window.partitionBy())).alias("cum"),
                  F.row_number().over(w).alias("pos"))
-    return c.where(F.col("cum") >= 0.95).agg(F.min("pos").alias("k95"), F.min("cum").alias("cum_at_k"))
+    return c.where(F.col("cum") >= 0.95).agg(F.min("pos").cast("bigint").alias("k95"), F.min("cum").alias("cum_at_k"))
