@@ -37,15 +37,18 @@ def get_spark(master: str | None = None, partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a scratch folder is made and
-    set; on a cluster the configured shared folder is always used.
+    Only a local session without one (tests) gets a scratch folder; on a
+    cluster a machine's own folder would be lost with the machine, so there
+    the setting is required.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
     d = sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:  # unset: local test session only
+    if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="paircraft-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()

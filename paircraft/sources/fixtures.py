@@ -17,17 +17,29 @@ from paircraft.sources.tables import table
 _MEMO: dict = {}
 
 
-def materialize(spark: SparkSession, key: str, build) -> DataFrame:
+def memo_key(spark: SparkSession, name: str, sf_dir: str) -> tuple:
+    """Application, derived table, input folder and the listing of its
+    documents (names, sizes, times), so that a rewritten input is derived anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    stamps = tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    return spark.sparkContext.applicationId, name, sf_dir, stamps
+
+
+def materialize(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     """Build a derived table once per application and cut its lineage with a
     reliable ``checkpoint()`` into the session's checkpoint folder (a shared
     folder on a cluster), so later queries and retries after executor loss
     read it instead of recomputing it."""
     from paircraft.session import ensure_checkpoint_dir
-    k = (spark.sparkContext.applicationId, key)
+    k = memo_key(spark, name, sf_dir)
     df = _MEMO.get(k)
     if df is None:
         ensure_checkpoint_dir(spark)
         df = build().checkpoint(eager=True)
+        # tables of an input that has been rewritten are let go
+        for old in [o for o in _MEMO if o[1:3] == k[1:3] and o != k]:
+            del _MEMO[old]
         _MEMO[k] = df
     return df
 
@@ -66,7 +78,7 @@ def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
         return pair_candidates(docs).select(
             F.concat_ws("-", F.col("qid1").cast("string"), F.col("qid2").cast("string")).alias("pair_id"), "qid1", "qid2")
-    return materialize(spark, f"pair_ids:{sf_dir}", build)
+    return materialize(spark, "pair_ids", sf_dir, build)
 
 
 def attach_texts(cand: DataFrame, docs: DataFrame) -> DataFrame:
@@ -176,7 +188,7 @@ def pair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         q = distinct_questions(doc_pairs(spark, sf_dir))
         return q.select("qkey", "question", clean_nostem("question").alias("clean"))
-    return materialize(spark, f"pair_questions:{sf_dir}", build)
+    return materialize(spark, "pair_questions", sf_dir, build)
 
 
 def keyed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +203,7 @@ def eda_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-pair EDA table (``operators.eda.eda_table``) over ``doc_pairs``,
     materialised once per application."""
     from paircraft.operators.eda import eda_table
-    return materialize(spark, f"eda_pairs:{sf_dir}", lambda: eda_table(doc_pairs(spark, sf_dir)))
+    return materialize(spark, "eda_pairs", sf_dir, lambda: eda_table(doc_pairs(spark, sf_dir)))
 
 
 SCORE_EXPERTS = ("containment", "jaccard", "tfidf_cosine")
@@ -218,7 +230,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "'tfidf_cosine', tfidf_cosine) as (expert, p)")
         # scores rounded to 1e-9 so that ties do not depend on summation order
         return long.select("pair_id", "expert", (F.floor(F.col("p") * 1e9 + 0.5) / 1e9).alias("p"), "y")
-    return materialize(spark, f"scores:{sf_dir}", build)
+    return materialize(spark, "scores", sf_dir, build)
 
 
 def tfidf_fit(spark: SparkSession, sf_dir: str, analyzer: str = "word"):
@@ -226,8 +238,8 @@ def tfidf_fit(spark: SparkSession, sf_dir: str, analyzer: str = "word"):
     both materialised once per application."""
     from paircraft.operators import tfidf
 
-    key = f"tfidf:{analyzer}:{sf_dir}"
-    k = (spark.sparkContext.applicationId, key)
+    key = f"tfidf:{analyzer}"
+    k = memo_key(spark, key, sf_dir)
     if k not in _MEMO:
         q = pair_questions(spark, sf_dir)
         # the term counts feed both the vocabulary and the weights: keep them
@@ -235,8 +247,8 @@ def tfidf_fit(spark: SparkSession, sf_dir: str, analyzer: str = "word"):
         tf = tfidf.pair_term_frequencies(q, analyzer).persist()
         try:
             model, w = tfidf.fit_pair_tfidf(q, analyzer, tf=tf)
-            vocab = materialize(spark, key + ":vocab", lambda: model.vocab)
-            weights = materialize(spark, key + ":w", lambda: tfidf.TfidfModel(vocab, model.sublinear)
+            vocab = materialize(spark, key + ":vocab", sf_dir, lambda: model.vocab)
+            weights = materialize(spark, key + ":w", sf_dir, lambda: tfidf.TfidfModel(vocab, model.sublinear)
                                   .transform(tf, "qkey"))
         finally:
             tf.unpersist()

@@ -1,7 +1,8 @@
 """Follow the append-only metric log with Structured Streaming.
 
 ``follow_log`` reads new text files under the log root, parses them with
-``metric_log.parse_log`` and appends the records to a parquet table. With
+``metric_log.parse_log`` and adds the records to a parquet table, a folder
+per batch. With
 ``availableNow`` it processes what is there and stops; the checkpoint
 records which files were done, so a rerun (or a restart after a failure)
 only parses new files.
@@ -26,8 +27,8 @@ def follow_log(spark: SparkSession, log_root: str, out_path: str, checkpoint: st
                 .select(F.col("value")))
 
     def write_batch(batch_df, epoch_id):
-        parsed = parse_log(batch_df).withColumn("batch", F.lit(epoch_id))
-        parsed.drop("attrs").write.mode("append").parquet(out_path)
+        # a batch that is run again after a failure replaces its own folder
+        parse_log(batch_df).drop("attrs").write.mode("overwrite").parquet(f"{out_path}/batch={epoch_id}")
 
     q = (raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", ck)
             .trigger(availableNow=True).start())
