@@ -3,6 +3,7 @@ M13) and the MLlib experts (rows-only checks)."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -142,9 +143,12 @@ def _search(spark, sf):
     """Gates of all subsets x learning rates, fitted together on the training
     rows for up to 200 epochs; the rate stays as it is (G5, G7)."""
     from paircraft.schema import GATE_LR_GRID
-    train, valid, _ = _split_matrix(spark, sf)
-    gates = [(m, lr) for m in gate.masks(K) for lr in GATE_LR_GRID]
-    return gate.fit_many(train, NAMES, "y", gates, epochs=200, lr_patience=None, valid=valid)
+    key = fx.memo_key(spark, "gate_search", sf)
+    if key not in fx._MEMO:
+        train, valid, _ = _split_matrix(spark, sf)
+        gates = [(m, lr) for m in gate.masks(K) for lr in GATE_LR_GRID]
+        fx._MEMO[key] = gate.fit_many(train, NAMES, "y", gates, epochs=200, lr_patience=None, valid=valid)
+    return fx._MEMO[key]
 
 
 @register("grid_search")
@@ -307,12 +311,11 @@ def refit_top_subsets(spark, sf):
     from paircraft.operators.metrics import binary_metrics
     train, valid, test = _split_matrix(spark, sf)
     top = sorted(_search(spark, sf), key=lambda f: (f.best, gate.subset_key(NAMES, f.members), f.lr))[:10]
-    both = train.unionByName(valid)
+    again = gate.fit_many(train.unionByName(valid), NAMES, "y", [(f.members, f.lr) for f in top], min_delta=0.0,
+                          epochs=[f.best_epoch + 1 for f in top], patience=201, lr_patience=None)
     out = []
-    for rank, f in enumerate(top, start=1):
-        members = [NAMES[i] for i in f.members]
-        g = gate.fit(both, members, "y", lr=f.lr, epochs=f.best_epoch + 1, patience=f.best_epoch + 2, min_delta=0.0,
-                     lr_patience=None)
-        r = binary_metrics(gate.predict(test, members, g.W, g.b, "p"), "p", "y").first()
+    for rank, (f, g) in enumerate(zip(top, again, strict=True), start=1):
+        members, at = [NAMES[i] for i in f.members], np.ix_(f.members, f.members)
+        r = binary_metrics(gate.predict(test, members, g.W[at], g.b[list(f.members)], "p"), "p", "y").first()
         out.append((gate.subset_key(NAMES, f.members), f.lr, f.best_epoch, rank, float(r.log_loss) if r else float("nan")))
     return spark.createDataFrame(out, "subset string, lr double, best_epoch int, rank int, test_log_loss double")
