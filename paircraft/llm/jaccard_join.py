@@ -275,10 +275,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     told = rows.where("shard < 0").select("block", F.explode(F.arrays_zip("ids", "places", "sizes", "keys")).alias("m"))
     members = told.select(F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"), F.col("m.keys").alias("set"),
                           F.when(F.col("m.places") >= 0, F.col("block") * 65536 + F.col("m.places")).alias("node"))
-    one = members.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"))
+    # one node stands for all with the same set, found on narrow rows
+    one = (members.where("node is not null").groupBy("set").agg(F.min(F.struct("node", "n")).alias("f"))
+           .select("set", "f.node", "f.n"))
     shared = shared_shingles(rows, ranges).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
     able = shared.join(one, "node").where(F.size("s").cast("bigint") * 100 >= F.col("n") * percent)
-    able = cut(able.select("set", "n", "s").dropDuplicates(["set"]))
+    able = cut(able.select("set", "n", "s"))
     # shingles of no other document come first in the order and are no keys
     first = F.size("s") - F.expr(f"(n * {percent} + 99) div 100") + 1
     keys = able.select(F.explode(F.slice("s.key", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("key"),
