@@ -54,9 +54,12 @@ def sample_n(df: DataFrame, key: str, n: int = SAMPLE_N, seed: int = SAMPLE_SEED
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
+def with_batch(df: DataFrame, key: str, epoch: int, n_batches: int) -> DataFrame:
+    """Add ``batch``, a row's mini-batch in an epoch (P5): a hash of the key
+    and the epoch, so batches differ by epoch and nothing is shuffled."""
+    return df.withColumn("batch", hash_bucket(F.col(key), SPLIT_SEED + epoch, n_batches))
+
+
 def minibatch(df: DataFrame, key: str, epoch: int, n_batches: int, batch: int) -> DataFrame:
-    """Rows of mini-batch ``batch`` in epoch ``epoch`` (P5): a hash of
-    (key, epoch) picks the batch, so batches differ per epoch without a
-    global shuffle."""
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(epoch)), F.lit(n_batches))
-    return df.where(b == batch)
+    """Rows of mini-batch ``batch`` in epoch ``epoch`` (P5)."""
+    return with_batch(df, key, epoch, n_batches).where(F.col("batch") == batch).drop("batch")

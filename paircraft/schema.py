@@ -20,8 +20,6 @@ PAIR = T.StructType([
     T.StructField("is_duplicate", T.IntegerType()),
 ])
 
-PAIR_WITH_ID = T.StructType([T.StructField("pair_id", T.StringType())] + PAIR.fields)
-
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
 # ---------------------------------------------------------------------------

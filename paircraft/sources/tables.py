@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paircraft.schema import PAIR
 
@@ -25,7 +24,8 @@ def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pairs_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    w = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    w = (df.write.mode("overwrite").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)
@@ -44,9 +44,3 @@ def write_summary_csv(df: DataFrame, path: str) -> None:
     """Small result tables (summaries, grids) as one CSV file (S7). Only for
     results whose size is bounded by parameters, never row data."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
-def array_to_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """``array<float>`` -> ML vector at an ML boundary."""
-    from pyspark.ml.functions import array_to_vector as a2v
-    return df.withColumn(out or col, a2v(F.col(col).cast("array<double>")))
