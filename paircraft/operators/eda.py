@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paircraft.functions.binning import qcut_bin, width_bucket
 from paircraft.functions.text import drop_stop_words
+from paircraft.session import ensure_checkpoint_dir
 from paircraft.plans.ordered import exact_quantiles, quantile_edges, value_counts
 
 
@@ -182,7 +183,7 @@ def describe(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return base.join(qs, "metric")
 
 
-def eda_cosine(pairs: DataFrame) -> DataFrame:
+def eda_cosine(pairs: DataFrame, kp: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """EDA cosine (M2): unigram TF-IDF with stop words removed, raw tf, smooth
     idf, **fitted on question1 only**, both sides transformed, L2 rows.
 
@@ -194,13 +195,14 @@ def eda_cosine(pairs: DataFrame) -> DataFrame:
     from paircraft.functions.text import drop_stop_words, word_tokens
     from paircraft.operators import tfidf
     from paircraft.operators.tables import distinct_questions, text_key
-    kp = pairs.select("pair_id", text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
-    texts = distinct_questions(pairs)
+    if kp is None:
+        kp = pairs.select("pair_id", text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
+        texts = distinct_questions(pairs)
     toks = (texts.select("qkey", word_tokens("question").alias("_tk"))
                  .select("qkey", drop_stop_words("_tk").alias("terms")))
     tf = tfidf.term_frequencies(toks, "qkey", F.col("terms"))
     q1_mult = kp.groupBy(F.col("qkey1").alias("qkey")).agg(F.count(F.lit(1)).alias("m1"))
-    n = pairs.agg(F.count(F.lit(1))).scalar()
+    n = kp.agg(F.count(F.lit(1))).scalar()
     df = tf.join(q1_mult, "qkey").groupBy("term").agg(F.sum("m1").alias("df"))
     vocab = df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     w = tfidf.TfidfModel(vocab, sublinear=False).transform(tf, "qkey")
@@ -209,19 +211,22 @@ def eda_cosine(pairs: DataFrame) -> DataFrame:
 
 def eda_table(pairs: DataFrame) -> DataFrame:
     """Per-pair EDA columns: lengths, word counts, length difference,
-    Jaccard, EDA cosine, minimum question frequency."""
+    Jaccard, EDA cosine, minimum question frequency. Texts are measured once
+    per distinct text; the pairs carry ids and keys only through the joins."""
     from paircraft.functions.similarity import set_jaccard
-    from paircraft.functions.text import jaccard_token_set
-    from paircraft.operators.tables import attach_min_freq, item_frequency, pair_lengths
-    from paircraft.operators.tables import distinct_questions, text_key
+    from paircraft.functions.text import char_count, jaccard_token_set, word_count
+    from paircraft.operators.tables import attach_min_freq, distinct_questions, item_frequency, text_key
+    ensure_checkpoint_dir(pairs.sparkSession)
     base = pairs.dropna(subset=["question1", "question2"])
-    # token sets once per distinct text, gathered for both sides by key
-    sets = distinct_questions(base).select("qkey", jaccard_token_set("question").alias("_s"))
-    j = (base.withColumn("_k1", text_key("question1")).withColumn("_k2", text_key("question2"))
-             .join(sets.select(F.col("qkey").alias("_k1"), F.col("_s").alias("_s1")), "_k1")
-             .join(sets.select(F.col("qkey").alias("_k2"), F.col("_s").alias("_s2")), "_k2")
-             .withColumn("jaccard", set_jaccard("_s1", "_s2")).drop("_s1", "_s2", "_k1", "_k2"))
-    lens = pair_lengths(j).drop("word_diff")
-    freq = item_frequency(base)
-    mf = attach_min_freq(lens, freq).drop("freq1", "freq2")
-    return mf.join(eda_cosine(base), "pair_id")
+    texts = distinct_questions(base).checkpoint()
+    kp = base.select("pair_id", "qid1", "qid2", "is_duplicate", text_key("question1").alias("qkey1"),
+                     text_key("question2").alias("qkey2")).checkpoint()
+    told = texts.select("qkey", jaccard_token_set("question").alias("s"), char_count("question").alias("len"),
+                        word_count("question").alias("words")).checkpoint()
+    side = lambda i: told.select(F.col("qkey").alias(f"qkey{i}"), F.col("s").alias(f"_s{i}"),
+                                 F.col("len").alias(f"q{i}_len"), F.col("words").alias(f"q{i}_words"))
+    j = kp.join(side(1), "qkey1").join(side(2), "qkey2").select(
+        "pair_id", "qid1", "qid2", "is_duplicate", "q1_len", "q2_len", "q1_words", "q2_words",
+        F.abs(F.col("q1_len") - F.col("q2_len")).alias("len_diff"), set_jaccard("_s1", "_s2").alias("jaccard"))
+    mf = attach_min_freq(j, item_frequency(kp)).drop("freq1", "freq2")
+    return mf.join(eda_cosine(base, kp.select("pair_id", "qkey1", "qkey2"), texts), "pair_id")

@@ -26,10 +26,7 @@ def term_frequencies(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     a plain ``explode`` makes the optimizer infer a ``size(terms) > 0``
     filter that re-inlines the whole n-gram expression below the projection
     (and evaluates the token regex once per n-gram)."""
-    # Shuffle the (few, wide) document rows by key once instead of the many
-    # n-gram rows: hash partitioning on the key also satisfies the
-    # (key, term) aggregation and the per-key window of ``transform``.
-    return (docs.repartition(key).select(key, F.explode_outer(terms).alias("term"))
+    return (docs.select(key, F.explode_outer(terms).alias("term"))
                 .where(F.col("term").isNotNull())
                 .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
@@ -61,15 +58,19 @@ def fit_idf(tf: DataFrame, key: str, n_docs: Column, min_df: int = 1,
 
 def pair_cosine(pairs: DataFrame, weights: DataFrame, key: str = "qkey",
                 k1: str = "qkey1", k2: str = "qkey2", out: str = "cosine") -> DataFrame:
-    """Row-wise sparse dot product of L2-normalised rows (J4):
-    pairs x terms(k1) joined with terms(k2) on (k2, term), summed per pair;
-    pairs without a shared term get 0 through the final left join."""
+    """Row-wise sparse dot product of L2-normalised rows (J4), once per
+    distinct pair of texts, so that a text that many pairs hold does not
+    multiply its terms: equal texts have 1 (0 without weights), the others
+    join terms(k1) with terms(k2) on (k2, term); pairs without a shared term
+    get 0 through the final left join."""
+    p = pairs.select(k1, k2).distinct()
     t1 = weights.select(F.col(key).alias(k1), "term", F.col("w").alias("w1"))
     t2 = weights.select(F.col(key).alias(k2), "term", F.col("w").alias("w2"))
-    p = pairs.select("pair_id", k1, k2)
-    dots = (p.join(t1, k1).join(t2, [k2, "term"])
-             .groupBy("pair_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("_dot")))
-    return (pairs.join(dots, "pair_id", "left")
+    dots = (p.where(F.col(k1) != F.col(k2)).join(t1, k1).join(t2, [k2, "term"])
+             .groupBy(k1, k2).agg(F.sum(F.col("w1") * F.col("w2")).alias("_dot")))
+    known = weights.select(F.col(key).alias(k1)).distinct()
+    same = p.where(F.col(k1) == F.col(k2)).join(known, k1).select(k1, k2, F.lit(1.0).alias("_dot"))
+    return (pairs.join(dots.unionByName(same), [k1, k2], "left")
                  .withColumn(out, F.coalesce(F.col("_dot"), F.lit(0.0))).drop("_dot"))
 
 
@@ -81,7 +82,11 @@ def with_terms(df: DataFrame, text_col: str, analyzer: str, out: str = "terms")
 
 
 def pair_term_frequencies(qtab: DataFrame, analyzer: str = "word", text_col: str = "clean") -> DataFrame:
-    return term_frequencies(with_terms(qtab.select("qkey", text_col), text_col, analyzer), "qkey", F.col("terms"))
+    # The texts are dealt by key before their n-grams are made: that also
+    # serves the (key, term) counts and the per-key window of ``transform``,
+    # so no n-gram is shuffled for either.
+    dealt = qtab.select("qkey", text_col).repartition("qkey")
+    return term_frequencies(with_terms(dealt, text_col, analyzer), "qkey", F.col("terms"))
 
 
 def fit_pair_tfidf(qtab: DataFrame, analyzer: str = "word", text_col: str = "clean",

@@ -192,7 +192,8 @@ def similarity_group_terms(spark, sf):
     """Term frequencies in the high (> 0.8) and low (< 0.2) Jaccard groups,
     top 20 each: the data behind the word clouds (A11, F4)."""
     from paircraft.functions.text import drop_stop_words, word_tokens
-    e = _eda(spark, sf)
+    e = _eda(spark, sf).where("jaccard > 0.8 or jaccard < 0.2").select("pair_id", "jaccard")
+    e = e.join(fx.doc_pairs(spark, sf).select("pair_id", "question1", "question2"), "pair_id")
     t = e.select("jaccard", word_tokens(F.concat_ws(" ", "question1", "question2")).alias("_tk")) \
          .select("jaccard", drop_stop_words("_tk").alias("toks"))
     return eda.similarity_group_terms(t, "jaccard", "toks", 20)
