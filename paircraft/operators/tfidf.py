@@ -90,14 +90,16 @@ def pair_term_frequencies(qtab: DataFrame, analyzer: str = "word", text_col: str
 
 
 def fit_pair_tfidf(qtab: DataFrame, analyzer: str = "word", text_col: str = "clean",
-                   tf: DataFrame | None = None):
+                   tf: DataFrame | None = None, fit_on: DataFrame | None = None):
     """Fit on a question table (qkey, clean): word n-grams 1-2 with
     ``min_df=3`` and sublinear tf, or char n-grams 3-5 with ``min_df=10`` (M1).
     Returns (model, weights table of the corpus). ``tf`` may pass a ready
-    (qkey, term, tf) table."""
+    (qkey, term, tf) table; ``fit_on`` (qkey) bounds the fit to some of the
+    texts, as a rule those of the training pairs, while all are transformed."""
     min_df = WORD_MIN_DF if analyzer == "word" else CHAR_MIN_DF
     if tf is None:
         tf = pair_term_frequencies(qtab, analyzer, text_col)
-    n = qtab.agg(F.count(F.lit(1))).scalar()
-    model = fit_idf(tf, "qkey", n, min_df, sublinear=(analyzer == "word"))
+    n = (qtab if fit_on is None else fit_on).agg(F.count(F.lit(1))).scalar()
+    seen = tf if fit_on is None else tf.join(fit_on, "qkey", "left_semi")
+    model = fit_idf(seen, "qkey", n, min_df, sublinear=(analyzer == "word"))
     return model, model.transform(tf, "qkey")

@@ -11,7 +11,7 @@ from paircraft.operators import tables, tfidf
 from paircraft.plans import oracle_sql as O
 from paircraft.plans.catalog import register
 from paircraft.plans.ordered import ordered_cumsum
-from paircraft.schema import HTML_RE, MATH_RE
+from paircraft.schema import CHAR_MIN_DF, HTML_RE, MATH_RE, SPLIT_CUTS, SPLIT_SEED, WORD_MIN_DF
 from paircraft.sources import fixtures as fx
 from paircraft.sources.tables import table
 
@@ -169,19 +169,21 @@ def char_ngrams(spark, sf):
 
 def _tfidf_ctes(analyzer: str) -> str:
     if analyzer == "word":
-        min_df, tfv = 3, "(1 + ln(tf))"
+        min_df, tfv = WORD_MIN_DF, "(1 + ln(tf))"
         src = (f"SELECT qkey, unnest({_word_grams_sql('tk')}) AS term FROM "
                f"(SELECT qkey, {O.word_tokens('clean')} AS tk FROM _qc)")
     else:
-        min_df, tfv = 10, "tf"
+        min_df, tfv = CHAR_MIN_DF, "tf"
         src = (f"SELECT qkey, unnest({_char_grams_sql('s')}) AS term FROM "
                f"(SELECT qkey, {_CHAR_NORM} AS s FROM _qc)")
     return O.with_(O.DOC_PAIRS, _Q, f"""
 _qc AS (SELECT qkey, {O.clean_nostem('question')} AS clean FROM _q),
 _tf AS (SELECT qkey, term, count(*) AS tf FROM ({src}) GROUP BY qkey, term),
-_n AS (SELECT count(*) AS n FROM _q),
+_fitp AS (SELECT * FROM doc_pairs {_NN} AND ('0x' || substr(md5(concat(least(qid1, qid2), '-', '{SPLIT_SEED}')), 1, 8))::BIGINT % 100 < {SPLIT_CUTS[0]}),
+_fitq AS (SELECT md5(question1) AS qkey FROM _fitp UNION SELECT md5(question2) FROM _fitp),
+_n AS (SELECT count(*) AS n FROM _fitq),
 _voc AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf
-         FROM _tf, _n GROUP BY term HAVING count(*) >= {min_df}),
+         FROM _tf JOIN _fitq USING (qkey), _n GROUP BY term HAVING count(*) >= {min_df}),
 _w0 AS (SELECT qkey, term, {tfv} * idf AS w FROM _tf JOIN _voc USING (term)),
 _w AS (SELECT qkey, term, w / sqrt(sum(w * w) OVER (PARTITION BY qkey)) AS w FROM _w0)""")
 

@@ -234,9 +234,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_fit(spark: SparkSession, sf_dir: str, analyzer: str = "word"):
-    """TF-IDF model and the (qkey, term, w) weights of the pair questions,
-    both materialised once per application."""
+    """TF-IDF model, fitted on the texts of the training pairs, and the
+    (qkey, term, w) weights of all pair questions, both materialised once per
+    application."""
     from paircraft.operators import tfidf
+    from paircraft.operators.split import group_split
 
     key = f"tfidf:{analyzer}"
     k = memo_key(spark, key, sf_dir)
@@ -246,7 +248,9 @@ def tfidf_fit(spark: SparkSession, sf_dir: str, analyzer: str = "word"):
         # for the two materialisations only
         tf = tfidf.pair_term_frequencies(q, analyzer).persist()
         try:
-            model, w = tfidf.fit_pair_tfidf(q, analyzer, tf=tf)
+            train = group_split(keyed_pairs(spark, sf_dir)).where(F.col("split") == "train")
+            fit_on = train.select(F.explode(F.array("qkey1", "qkey2")).alias("qkey")).distinct()
+            model, w = tfidf.fit_pair_tfidf(q, analyzer, tf=tf, fit_on=fit_on)
             vocab = materialize(spark, key + ":vocab", sf_dir, lambda: model.vocab)
             weights = materialize(spark, key + ":w", sf_dir, lambda: tfidf.TfidfModel(vocab, model.sublinear)
                                   .transform(tf, "qkey"))
