@@ -18,7 +18,7 @@ _split AS (SELECT *, CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'v
 
 
 def _split_df(spark, sf):
-    return split.group_split(fx.doc_pairs(spark, sf))
+    return split.group_split(fx.pair_ids(spark, sf))
 
 
 @register("group_split", _SPLIT + "\nSELECT pair_id, grp, bucket, split FROM _split")

@@ -192,11 +192,15 @@ def pair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-null pairs with the content keys of both sides."""
-    from paircraft.operators.tables import drop_null_pairs, text_key
-    p = drop_null_pairs(doc_pairs(spark, sf_dir))
-    return p.select("pair_id", "qid1", "qid2", "is_duplicate",
-                    text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
+    """Non-null pairs with the content keys of both sides (J1); a text is
+    hashed once and only its key is joined."""
+    from paircraft.operators.tables import text_key
+    keys = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", text_key("text").alias("k"))
+    p = pair_ids(spark, sf_dir)
+    for i in ("1", "2"):
+        p = p.join(keys.select(F.col("doc_id").alias(f"qid{i}"), F.col("k").alias(f"qkey{i}")), f"qid{i}")
+    return p.select("pair_id", "qid1", "qid2", (F.col("qkey1") == F.col("qkey2")).cast("int").alias("is_duplicate"),
+                    "qkey1", "qkey2")
 
 
 def eda_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
