@@ -20,6 +20,7 @@ columns are ignored. Words longer than ``PART`` letters are scored in parts.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -96,6 +97,12 @@ class Pieces:
                 yield i, k, np.where(known[at] == h, ids[at], self.unknown if k == 1 else -1)
 
 
+@functools.lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """The vocabulary, read once per worker."""
+    return Pieces(path)
+
+
 def forward(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log-probabilities (words x languages) of words of one length; ``prob``
     (pieces x languages) ends with the rows of unknown letters and of zeros."""
@@ -140,7 +147,7 @@ class Model:
     """pieces x languages, and the bounded cache of scored words of a task."""
 
     def __init__(self, path: str, langs: list[str], prob: np.ndarray):
-        self.pieces, self.langs, self.prob = Pieces(path), langs, with_zero(prob)
+        self.pieces, self.langs, self.prob = pieces_of(path), langs, with_zero(prob)
         self._empty()
 
     def _empty(self) -> None:
@@ -215,13 +222,13 @@ def train(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", tex
     counted = cut(sample(docs, id_col, text_col, lang_col, per_lang).mapInArrow(split, "lang string, word string")
                   .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
-    size = len(Pieces(vocab or public_tokenizers.path(VOCAB)).names)
+    size = len(pieces_of(vocab or public_tokenizers.path(VOCAB)).names)
     prob = np.full((size, len(langs)), 1 / size)
     for _ in range(rounds if langs else 0):
         now = prob
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = Pieces(vocab or public_tokenizers.path(VOCAB))
+            pieces = pieces_of(vocab or public_tokenizers.path(VOCAB))
             full, sums = with_zero(now), np.zeros((size + 1, len(langs)))
             for b in batches:
                 lang, word, n = (b.column(i).to_pylist() for i in range(3))
