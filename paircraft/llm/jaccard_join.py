@@ -103,8 +103,10 @@ def packed(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFram
 
 
 def shared_shingles(rows: DataFrame, ranges: int) -> DataFrame:
-    """(node, key, df) of the shingles that two nodes or more hold; a range's
-    task sorts the hashes that the blocks sent it."""
+    """(node, key) of the shingles that two nodes or more hold; a range's task
+    sorts the hashes that the blocks sent it. A key begins with the number of
+    its nodes (1,023 at most), so keys in order are the rarest first, in one
+    order for all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, nodes, shards = [], [], []
@@ -124,14 +126,13 @@ def shared_shingles(rows: DataFrame, ranges: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         df = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
         keep = df > 1
-        key, node, df = key[keep], node[keep], df[keep]
+        key, node = np.minimum(df[keep], 1023) << 53 | key[keep], node[keep]
         for i in range(0, len(key), 50_000):
             part = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(key[part]), pa.array(df[part])],
-                                             ["node", "key", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(key[part])], ["node", "key"])
 
     dealt = rows.where("shard >= 0").select("block", "shard", "counts", "hashes").repartitionById(ranges, F.col("shard"))
-    return dealt.mapInArrow(run, "node bigint, key bigint, df bigint")
+    return dealt.mapInArrow(run, "node bigint, key bigint")
 
 
 class Links:
@@ -270,7 +271,7 @@ def link(nodes: DataFrame, keys: DataFrame, percent: int = PERCENT) -> DataFrame
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    ranges = 2 * n_parts(docs)
+    ranges = min(2 * n_parts(docs), 1 << 20)
     rows = cut(packed(docs, ranges, id_col, text_col))
     told = rows.where("shard < 0").select("block", F.explode(F.arrays_zip("ids", "places", "sizes", "keys")).alias("m"))
     members = told.select(F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"), F.col("m.keys").alias("set"),
@@ -278,14 +279,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     # one node stands for all with the same set, found on narrow rows
     one = (members.where("node is not null").groupBy("set").agg(F.min(F.struct("node", "n")).alias("f"))
            .select("set", "f.node", "f.n"))
-    shared = shared_shingles(rows, ranges).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
+    shared = shared_shingles(rows, ranges).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("s"))
     able = shared.join(one, "node").where(F.size("s").cast("bigint") * 100 >= F.col("n") * percent)
     able = cut(able.select("set", "n", "s"))
     # shingles of no other document come first in the order and are no keys
     first = F.size("s") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    keys = able.select(F.explode(F.slice("s.key", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("key"),
+    keys = able.select(F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("key"),
                        F.col("set").alias("node"))
-    nodes = able.select(F.col("set").alias("node"), "n", F.col("s.key").alias("keys"))
+    nodes = able.select(F.col("set").alias("node"), "n", F.col("s").alias("keys"))
     found = link(nodes, keys, percent)
     named = members.join(found.withColumnRenamed("node", "linked"), F.col("set") == F.col("linked"), "left")
     named = named.select("id", "n", F.coalesce("component", "set").alias("class"))
