@@ -14,10 +14,13 @@ components of the links without any list of all pairs:
    rarest shingles of each (of n shingles in one order for all, the first
    n - ceil(threshold n) + 1), so documents that no chain of such shingles
    connects are farther apart than r.
-3. In a large island, pivots create Voronoi regions: a document belongs to its
-   nearest pivot's region and, by the triangle inequality, is replicated to
-   each region whose pivot is at most 2 r farther. Documents within r of a
-   pivot are linked to it. Regions are split again in the same way.
+3. In a large island, pivots contract what is near them: documents within r
+   of a pivot are linked to it, and pivots that share such a document are one
+   class. By the triangle inequality, a document that links with a class is
+   within 2 r of one of its pivots; only such documents (of a smaller class or
+   of none) ask, in blocks, salted slices of the linked ones. Documents that
+   no pivot reached are parted into islands again, with new pivots, until no
+   island exceeds the bound.
 4. A region's task joins it exactly: documents outside its largest component
    are compared with all others; those inside it are connected already.
 
@@ -36,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paircraft.llm.common import WordCodes, cut, n_parts, shingles, slices, words
@@ -45,8 +48,9 @@ from paircraft.llm.components import components
 PERCENT = 75
 #: Documents and shingles of a block, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
-#: Documents of a region that one task joins without a split by pivots; pivots of a split; splits in a row.
-REGION, PIVOTS, DEPTH = 4096, 16, 2
+#: Documents of a region, a block or a slice that one task joins, about; pivots of a round: documents for
+#: each, at least, at most.
+REGION, PER_PIVOT, PIVOTS, MAX_PIVOTS = 4096, 64, 16, 256
 
 
 def packed(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFrame:
@@ -159,9 +163,9 @@ class Links:
         return np.bincount(np.concatenate([self.holders[self.at[k]:self.at[k + 1]] for k in mine]),
                            minlength=len(self.nodes))
 
-    def compare(self, i: int) -> None:
+    def compare(self, i: int, among: np.ndarray | bool = True) -> None:
         both = self.common(i)
-        near = np.flatnonzero(100 * both >= self.percent * (self.n + self.n[i] - both))
+        near = np.flatnonzero((100 * both >= self.percent * (self.n + self.n[i] - both)) & among)
         for j in near.tolist():
             a, b = self.find(i), self.find(j)
             self.root[max(a, b)] = min(a, b)
@@ -179,92 +183,141 @@ class Links:
                 kinds, sizes = np.unique(roots, return_counts=True)
                 if sizes.max() * 2 > len(roots):
                     todo = [j for j in todo if roots[j] != kinds[sizes.argmax()]]
+        return self.edges()
+
+    def ask(self, asks: list[bool]) -> list[tuple[int, int]]:
+        """Edges between documents that ask and the others; those of one side
+        are not compared with each other."""
+        told = ~np.array(asks)
+        for i in np.flatnonzero(~told).tolist():
+            self.compare(i, told)
+        return self.edges()
+
+    def edges(self) -> list[tuple[int, int]]:
         return [(self.nodes[i], self.nodes[self.find(i)]) for i in range(len(self.nodes)) if self.find(i) != i]
 
 
 def join_regions(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of each region of (region, node, n, keys); regions are
-    dealt by key and read one after the other from a sorted partition."""
+    """Edges (a, b) of each region of (region, node, n, keys, asks); regions
+    are dealt by key and read one after the other from a sorted partition.
+    Where ``asks`` is null, all documents of a region are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list) -> pa.RecordBatch:
-            edges = Links([g[0] for g in group], [g[1] for g in group], [g[2] for g in group], percent).run()
+            links = Links([g[0] for g in group], [g[1] for g in group], [g[2] for g in group], percent)
+            edges = links.run() if group[0][3] is None else links.ask([g[3] for g in group])
             a, b = zip(*edges, strict=True) if edges else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         now, group = None, []
         for b in slices(batches):
             keys = b.column(3)
-            for i, (region, node, n) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+            for i, (region, node, n, asks) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 4)), strict=True)):
                 if region != now and group:
                     if len(group) > 1:
                         yield done(group)
                     group = []
                 now = region
-                group.append((node, n, np.asarray(keys[i].values)))
+                group.append((node, n, np.asarray(keys[i].values), asks))
         if len(group) > 1:
             yield done(group)
 
-    dealt = members.select("region", "node", "n", "keys").repartition(n_parts(members), "region")
+    dealt = members.select("region", "node", "n", "keys", "asks").repartition(n_parts(members), "region")
     return dealt.sortWithinPartitions("region", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def split_by_pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(regions, edges): the members of each region dealt to Voronoi regions
-    of its pivots (the nodes of smallest hash), boundary documents replicated;
-    the edges link documents to pivots within r. A region's members are dealt
-    by salt, so a hot one is spread; each salt gets the pivots."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(n_parts(members))).cast("int")
-    # the rank's limit is applied before the shuffle as well, so a hot region sends few rows
-    by_hash = Window.partitionBy("region").orderBy("h", "node")
-    ranked = (members.select("region", "node", F.xxhash64("node").alias("h"))
-              .withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= PIVOTS).select("region", "node"))
-    pivots = members.join(ranked, ["region", "node"]).groupBy("region").agg(
+def reach(members: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(node, n, keys, near, close) of the members (region, node, n, keys,
+    count) of large regions: the pivots within r and within 2 r of each. Pivots
+    are drawn by hash; a region's members are dealt by salt, about ``REGION``
+    of them to a task, and each salt gets the region's pivots."""
+    salts = F.ceil(F.col("count") / REGION).cast("int")
+    drawn = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("count")) < F.least(
+        F.greatest(F.floor(F.col("count") / PER_PIVOT), F.lit(PIVOTS)), F.lit(MAX_PIVOTS))
+    given = members.where(drawn).groupBy("region", salts.alias("salts")).agg(
         F.collect_list(F.struct("node", "n", "keys")).alias("pivots"))
-    salts = members.select("region", salt.alias("salt")).distinct()
-    given = pivots.join(salts, "region").select(F.col("region").alias("p_region"), F.col("salt").alias("p_salt"), "pivots")
-    schema = "region bigint, node bigint, n int, keys array<bigint>, pivot bigint, near boolean"
+    given = given.select(F.col("region").alias("p_region"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("p_salt"), "pivots")
+    schema = "node bigint, n int, keys array<bigint>, near array<bigint>, close array<bigint>"
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        piv = right.column("pivots")[0].as_py() if right.num_rows else []
+        ids, m = np.array([p["node"] for p in piv], np.int64), np.array([p["n"] for p in piv], np.int64)
+        flat = np.array([k for p in piv for k in p["keys"]], np.int64)
+        holder = np.repeat(np.arange(len(piv)), [len(p["keys"]) for p in piv])
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], holder[order]
         out = []
-        piv = [(p["node"], p["n"], np.array(p["keys"], np.int64)) for p in (right.column("pivots")[0].as_py() if right.num_rows else [])]
-        col = {c: left.column(c) for c in left.column_names}
-        for i in range(left.num_rows):
-            region, node, n = col["region"][i].as_py(), col["node"][i].as_py(), col["n"][i].as_py()
-            mine = np.array(col["keys"][i].as_py(), np.int64)
-            both = [len(np.intersect1d(mine, k, assume_unique=True)) for _, _, k in piv]
-            dist = [1 - b / (n + m - b) for b, (_, m, _) in zip(both, piv, strict=True)]
-            window = min(dist) + 2 * (1 - percent / 100) + 1e-9
-            out += [(region, node, n, mine, p[0], 100 * b >= percent * (n + p[1] - b))
-                    for p, b, d in zip(piv, both, dist, strict=True) if d <= window]
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
+        keys = left.column("keys").combine_chunks()
+        for i, (node, n) in enumerate(zip(left.column("node").to_pylist(), left.column("n").to_pylist(), strict=True)):
+            mine = np.asarray(keys[i].values)
+            lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            held = [holder[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+            both = np.bincount(np.concatenate(held), minlength=len(piv)) if held else np.zeros(len(piv), np.int64)
+            union = m + n - both
+            out.append((node, n, mine, ids[100 * both >= percent * union], ids[100 * both >= (2 * percent - 100) * union]))
+        cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                    ["region", "node", "n", "keys", "pivot", "near"])
-
-    dealt = members.withColumn("salt", salt).groupBy("region", "salt").cogroup(given.groupBy("p_region", "p_salt"))
-    placed = cut(dealt.applyInArrow(run, schema))
-    edges = placed.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    return placed.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "keys"), edges
+                                    [c.split()[0] for c in schema.split(", ")])
+
+    salt = F.pmod(F.xxhash64("node"), salts).cast("int")
+    dealt = members.select("region", salt.alias("salt"), "node", "n", "keys").groupBy("region", "salt")
+    return dealt.cogroup(given.groupBy("p_region", "p_salt")).applyInArrow(run, schema)
+
+
+def contract(members: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, rest) of large regions (region, node, n, keys, count): all links
+    of the members that pivots reach, and the members that none reaches."""
+    placed = cut(members.transform(reach, percent, seed))
+    linked = placed.where(F.size("near") > 0)
+    spokes = linked.select("node", F.explode("near").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b")
+    pairs = linked.select(F.element_at("near", 1).alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
+    classes = components(pairs).select(F.col("node").alias("pivot"), "component")
+    class_of = lambda df: df.join(classes, "pivot", "left").withColumn("class", F.coalesce("component", "pivot"))
+    own = class_of(linked.select("node", F.element_at("near", 1).alias("pivot"))).select("node", "class")
+    own = cut(own.join(members.select("node", "region"), "node"))
+    size = own.groupBy("class").count()
+    # of two classes the smaller one asks; a member of no class asks all that are near enough
+    other = class_of(placed.select("node", F.explode("close").alias("pivot"))).select("node", F.col("class").alias("other")).distinct()
+    other = other.join(size.select(F.col("class").alias("other"), F.col("count").alias("other_size")), "other")
+    mine = own.join(size, "class").select("node", "class", "count")
+    asking = other.join(mine, "node", "left").where(
+        F.col("class").isNull() | (F.struct("count", "class") < F.struct(F.col("other_size").alias("count"), F.col("other").alias("class"))))
+    asking = cut(asking.select("node").distinct().join(members.select("node", "region"), "node"))
+    n = own.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / REGION).cast("int").alias("slices")).join(
+        asking.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / REGION).cast("int").alias("blocks")), "region")
+    dealt = lambda parts, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    told = own.join(n, "region").select("region", "node", dealt("slices", 1).alias("slice"), each("blocks").alias("block"), F.lit(False).alias("asks"))
+    put = asking.join(n, "region").select("region", "node", each("slices").alias("slice"), dealt("blocks", 2).alias("block"), F.lit(True).alias("asks"))
+    both = told.unionByName(put).select(F.xxhash64("region", "slice", "block").alias("region"), "node", "asks")
+    found = join_regions(both.join(placed.select("node", "n", "keys"), "node"), percent)
+    return cut(spokes.unionByName(found)), placed.where(F.size("near") == 0).select("node", "n", "keys")
+
+
+def islands_of(keys: DataFrame) -> DataFrame:
+    """(node, region) of the nodes that a chain of ``keys`` (key, node) connects."""
+    least = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    chains = keys.join(least.select("key", "lo"), "key").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+    return components(chains).withColumnRenamed("component", "region")
 
 
 def link(nodes: DataFrame, keys: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the nodes (node, n, keys array) that link; ``keys``
-    (key, node): pairs that link share a key."""
-    least = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    chains = keys.join(least.select("key", "lo"), "key").select(F.col("node").alias("a"), F.col("lo").alias("b"))
-    islands = components(chains).withColumnRenamed("component", "region")
-    members = cut(nodes.join(islands, "node").select("region", "node", "n", "keys"))
-    edges = None
-    for _ in range(DEPTH):
-        sizes = cut(members.groupBy("region").count().where(F.col("count") > REGION).select("region"))
+    (key, node): pairs that link share a key. Every round takes its pivots and
+    all within r of them out of the large regions."""
+    members = cut(nodes.join(islands_of(keys), "node").select("region", "node", "n", "keys"))
+    edges, seed = None, 0
+    while True:
+        sizes = cut(members.groupBy("region").count().where(F.col("count") > REGION))
         if not sizes.count():
             break
-        regions, near = split_by_pivots(members.join(sizes, "region", "left_semi"), percent)
-        # a region whose members are all linked through its pivots is done: its task finds one component at once
-        members = cut(members.join(sizes, "region", "left_anti").unionByName(regions))
+        near, rest = contract(cut(members.join(sizes, "region")), percent, seed)
+        parted = rest.join(islands_of(keys.join(rest.select("node"), "node", "left_semi")), "node")
+        members = cut(members.join(sizes, "region", "left_anti").unionByName(parted.select("region", "node", "n", "keys")))
         edges = near if edges is None else edges.unionByName(near)
-    joined = join_regions(members, percent)
+        seed += 1
+    joined = join_regions(members.withColumn("asks", F.lit(None).cast("boolean")), percent)
     return components(joined if edges is None else joined.unionByName(edges))
 
 

@@ -73,6 +73,39 @@ def test_components_against_brute_force(spark, monkeypatch, region):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def one_family(rnd, n):
+    """Distinct near copies of one text, some near to others only, and texts that share a passage with them."""
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for k in rnd.sample(range(56, 60), rnd.randrange(1, 3)):
+            t[k] = f"x{i}"
+        if i % 7 == 0:
+            t = t[:52] + [f"y{i % 35} {j}" for j in range(rnd.randrange(12))]
+        if i % 50 == 0:
+            t = t[:30] + [f"z{i % 150} {j}" for j in range(30)] + [f"u{i}"]
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize(("pivots", "n"), [(2, 600), (16, 600)])
+def test_family_of_near_copies_is_dealt_out(spark, monkeypatch, pivots, n):
+    monkeypatch.setattr(jaccard_join, "REGION", 64)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    seen, join = [], jaccard_join.join_regions
+
+    def watched(members, percent):
+        seen.extend((r["region"], r["count"]) for r in members.groupBy("region").count().collect())
+        return join(members, percent)
+    monkeypatch.setattr(jaccard_join, "join_regions", watched)
+    rows = one_family(random.Random(3), n)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    # a block and a slice of about 64 rows each, no copy of the family
+    assert max(c for _, c in seen) < 3 * 64 and sum(c for _, c in seen) < 8 * n
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard_join.jaccard_components(docs).count() == 0
