@@ -46,14 +46,15 @@ class WordBpe:
     """Ids of whole texts by the tokenizers library. The vocabulary drops white
     space and merges inside words only, so a text's ids are those of its
     space-separated parts in turn, and each distinct part is encoded once per
-    task. Lower-casing A-Z first changes nothing, as the vocabulary does it."""
+    task. Lower-casing A-Z first changes nothing but where it spells a special
+    token, as the vocabulary does it and matches those in the text as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+            self.added = [t["content"].encode() for t in json.load(f)["added_tokens"]]
         self.ends_word = np.zeros(self.model.get_vocab_size(), bool)
         for piece, i in self.model.get_vocab().items():
             self.ends_word[i] = piece.endswith("</w>")
@@ -87,9 +88,10 @@ class WordBpe:
         out: list[bytes] = []
         parts = []
         for t in texts:
-            # a text that spells a special token is encoded whole, without the cache
-            whole = t and any(a in t for a in self.added)
-            parts.append(None if whole else (t or "").encode().lower().split())
+            # a text that spells a special token, in any case, is encoded whole, without the cache
+            raw = (t or "").encode()
+            low = raw.lower()
+            parts.append(None if any(a in raw or a in low for a in self.added) else low.split())
         new = set().union(*(p for p in parts if p)) - self.cache.keys()
         # a full stop or comma after a letter is always a piece of its own
         ended = {w for w in new if w[-1] in b".," and w[-2:-1].isalpha()}

@@ -104,3 +104,11 @@ def test_placement_minimises_squares():
         p.add(i, b"\0" * 4 * size)
         assert int((p.level ** 2).sum()) == min(options.values())
         assert all(len(p.open[h]) == p.level[h] for h in range(64))
+
+
+def test_special_tokens_in_other_cases(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCAB))
+    texts = ["a <|ENDOFTEXT|> b", "x<|EndOfText|>", "<|StartOfText|> A", "a <|endoftext|> B", "ENDOFTEXT"]
+    ids = {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check_pieces(packing.pack(rows).collect(), ids, 4096)
