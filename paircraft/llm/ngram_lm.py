@@ -1,4 +1,4 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by interpolated n-gram backoff.
 
 Tokens are words (runs ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and one end
 token per text. The n-grams of the training texts are smoothed by a Dirichlet
@@ -7,18 +7,16 @@ prior on the next lower order,
     p(w | h) = (c(h w) + MU p(w | h')) / (c(h) + MU),
 
 h' being h without its first word; the lowest order discounts known words by
-``DISCOUNT`` and gives the mass to one class of unknown words. As an automaton:
-a history is a state, an n-gram seen in training an arc with log10 p, and each
-state has a failure arc of weight log10(MU / (c(h) + MU)) to the state of h'.
-A text is read once from left to right; the state is carried along, and the
-weights of the arcs taken, failure arcs among them, add up to its score.
+``DISCOUNT`` and gives the mass to one class of unknown words. This is the
+distribution of a weighted backoff automaton, whose states are histories and
+whose failure arcs weigh MU / (c(h) + MU); no such automaton is built here. The
+formula is evaluated for all tokens of a block at once, order by order.
 
-The automaton grows with the corpus and is nowhere whole. Each block of
+The table of n-grams grows with the corpus and is nowhere whole. Each block of
 documents sends its distinct n-grams, with their training counts, to hash
 ranges; a range's task adds up the counts of all blocks and answers each block
-with the totals of its own n-grams; the block builds from them the part of the
-automaton that its texts reach, and traverses it. A frequent n-gram is one
-number per block, so no range is hot. Unigrams are told apart by 64-bit
+with the totals of its own n-grams, by which the block scores its texts. A
+frequent n-gram is one number per block, so no range is hot. Unigrams are told apart by 64-bit
 hashes, longer n-grams by 32 bits and their range (of 2^32 unseen n-grams in a
 range one in 1,000 is taken for a seen one per 4 million).
 
@@ -162,8 +160,7 @@ def answer(asked: DataFrame, order: int, ranges: int) -> DataFrame:
 
 
 class Automaton:
-    """The part of the backoff automaton that a block's texts reach. An arc or
-    a state is named by its n-gram's place among the block's distinct ones."""
+    """Totals of a block's distinct n-grams, each named by its place among them."""
 
     def __init__(self, totals: list[np.ndarray], n: int, v: int, texts: int, mu: float, discount: float):
         """totals[k]: training counts of the block's distinct (k + 1)-grams;
