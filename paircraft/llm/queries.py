@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paircraft.llm import bpe, jaccard_join, langid, line_dedup, minhash, ngram_lm, packing, quality, secrets, warc
+from paircraft.llm import (bpe, hard_negatives, jaccard_join, langid, line_dedup, merkle, minhash, ngram_lm, packing, quality,
+                           secrets, suffix_dedup, warc)
 from paircraft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,30 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text, digested, and the bytes they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector against all vectors."""
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op11_hard_negatives"] = hard_negatives.oracle()
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, with a version of the tree per tampered one."""
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_merkle"] = merkle.oracle()
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 100-byte strings that start earlier."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_suffix_dedup"] = suffix_dedup.oracle()
