@@ -33,6 +33,24 @@ def group_split(df: DataFrame, seed: int = SPLIT_SEED, cuts=SPLIT_CUTS) -> DataF
                                     .when(F.col("bucket") < cuts[1], "valid").otherwise("test")))
 
 
+def group_split_exact(df: DataFrame, seed: int = SPLIT_SEED, cuts=SPLIT_CUTS) -> DataFrame:
+    """``group_split`` with exact shares of the groups (P2): groups stand in the
+    order of their hash and are cut at floor(n * cut / 100). Their places come
+    from a prefix count over ranges of the hash, no task sees all groups; ties
+    of the hash cannot be, the group is part of the key. Null groups are one
+    group. Adds ``grp`` and ``split``."""
+    from paircraft.plans.ordered import join_null_safe, ordered_cumsum
+    named = df.withColumn("grp", group_key())
+    order = F.concat_ws("-", F.md5(F.concat_ws("-", F.col("grp").cast("string"), F.lit(str(seed)))), F.col("grp").cast("string"))
+    groups = named.select("grp").distinct().select("grp", order.alias("_order"), F.lit(1).alias("one"))
+    placed = ordered_cumsum(groups, "_order", ["one"])
+    n = groups.agg(F.count(F.lit(1))).scalar()
+    placed = placed.select("grp", "cum_one", n.alias("n"))
+    upto = lambda cut: F.col("cum_one") <= F.floor(F.col("n") * cut / 100)
+    split = F.when(upto(cuts[0]), "train").when(upto(cuts[1]), "valid").otherwise("test")
+    return join_null_safe(named, placed.select("grp", split.alias("split")), ["grp"])
+
+
 def split_counts(split_df: DataFrame) -> DataFrame:
     return split_df.groupBy("split").agg(F.count(F.lit(1)).alias("n_pairs"),
                                          F.countDistinct("grp").alias("n_groups"))
