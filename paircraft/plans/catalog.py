@@ -60,5 +60,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from paircraft.plans import (q_eda, q_io, q_metrics, q_scores, q_sources,  # noqa: F401
+    from paircraft.plans import (q_eda, q_io, q_metrics, q_models, q_scores, q_sources,  # noqa: F401
                                  q_text, q_vectors)

@@ -290,34 +290,18 @@ _bb AS (SELECT pair_id, l1, l2, ld, mf, {_fixed_bin_sql('CAST(ld AS DOUBLE)')} A
         FROM _b, _e)""")
 
 
-@register("numeric_block", _NUMERIC + f"""
-SELECT pair_id, len_bin, CAST(mf_q AS INTEGER) AS mf_quartile,
+def numeric_sql(rounded=lambda x: x) -> str:
+    """(pair_id, len_bin, mf_quartile, numeric) of ``_bb``."""
+    return f"""SELECT pair_id, len_bin, CAST(mf_q AS INTEGER) AS mf_quartile,
        list_transform(list_concat(list_concat([CAST(l1 AS DOUBLE), CAST(l2 AS DOUBLE), CAST(ld AS DOUBLE)], {_onehot_sql('len_bin', 10)}),
-                                  list_concat([ln(1 + mf)], {_onehot_sql('mf_q', 4)})), lambda x: {R('x')}) AS numeric
-FROM _bb""")
+                                  list_concat([ln(1 + mf)], {_onehot_sql('mf_q', 4)})), lambda x: {rounded('x')}) AS numeric
+FROM _bb"""
+
+
+@register("numeric_block", _NUMERIC + "\n" + numeric_sql(R))
 def numeric_block(spark, sf):
     """Numeric block of 18 per pair: cleaned lengths, difference, its bin
     one-hot, log1p of the minimum text frequency and its quartile one-hot
     (X18-X22)."""
     from paircraft.operators.features import numeric_block as nb
     return nb(fx.doc_pairs(spark, sf))
-
-
-@register("raw_feature_block")
-def raw_feature_block(spark, sf):
-    """Native feature blocks joined on pair_id and concatenated (M4, J5):
-    word and char TF-IDF cosine, char/word count differences, Jaccard and the
-    numeric block -> 23 numbers per pair."""
-    from paircraft.functions.similarity import length_diffs
-    from paircraft.operators import tfidf
-    from paircraft.operators.features import numeric_block as nb, raw_features
-    kp = fx.keyed_pairs(spark, sf)
-    _, ww = fx.tfidf_fit(spark, sf, "word")
-    _, wc = fx.tfidf_fit(spark, sf, "char")
-    cw = tfidf.pair_cosine(kp, ww, out="cos_w").select("pair_id", "cos_w")
-    cc = tfidf.pair_cosine(kp, wc, out="cos_c").select("pair_id", "cos_c")
-    p = tables.drop_null_pairs(fx.doc_pairs(spark, sf))
-    fuzzy = p.select("pair_id", *length_diffs("question1", "question2"))
-    jac = _eda(spark, sf).select("pair_id", "jaccard")
-    num = nb(fx.doc_pairs(spark, sf)).select("pair_id", "numeric")
-    return raw_features([cw, cc, fuzzy, jac, num]).select("pair_id", "features", F.size("features").alias("width"))

@@ -169,60 +169,6 @@ def subset_search(spark, sf):
     return spark.createDataFrame(out, "subset string, k int, lr double, best_epoch int, valid_log_loss double")
 
 
-_FEATS = ["q1_len", "q2_len", "len_diff", "jaccard", "cosine", "min_freq"]
-
-
-def _expert_frames(spark, sf):
-    from paircraft.operators.experts import balanced_weights, feature_vector
-    from paircraft.operators.split import group_split
-    e = fx.eda_pairs(spark, sf).select("pair_id", "qid1", "qid2", *_FEATS, F.col("is_duplicate").alias("label"))
-    e = group_split(e).drop("grp", "bucket")
-    e = feature_vector(e, _FEATS)
-    train = balanced_weights(e.where(F.col("split") == "train"), "label", "w")
-    return train, e
-
-
-def _run_expert(spark, sf, kind, **params):
-    from paircraft.operators.experts import expert_pipeline, positive_probability, reduced_size
-    train, allp = _expert_frames(spark, sf)
-    n = train.count()  # one number: the regularisation is 1/n
-    model = expert_pipeline(kind, n, reduced_size(train, "features"), params).fit(train)
-    return positive_probability(model.transform(allp)).select("pair_id", "split", "p")
-
-
-@register("expert_lr")
-def expert_lr(spark, sf):
-    """Balanced logistic regression on the PCA-reduced pair features."""
-    return _run_expert(spark, sf, "lr")
-
-
-@register("expert_gbt")
-def expert_gbt(spark, sf):
-    """Boosted trees, depth 7, rate 0.05, row/column sample 0.9, 400
-    rounds (M7)."""
-    return _run_expert(spark, sf, "gbt")
-
-
-@register("expert_gbt_deep")
-def expert_gbt_deep(spark, sf):
-    """Deeper boosted trees of 600 rounds (M8)."""
-    return _run_expert(spark, sf, "gbt_deep")
-
-
-@register("expert_rf")
-def expert_rf(spark, sf):
-    """Random forest of 200 trees, depth 30, leaf >= 2."""
-    return _run_expert(spark, sf, "rf")
-
-
-@register("expert_svm_calibrated")
-def expert_svm_calibrated(spark, sf):
-    """Linear SVM with 3-fold sigmoid calibration."""
-    from paircraft.operators.experts import svm_calibrated
-    train, allp = _expert_frames(spark, sf)
-    return svm_calibrated(train, allp)
-
-
 @register("expert_pair_vector_lr")
 def expert_pair_vector_lr(spark, sf):
     """Logistic head on [|u-v|, u*v] of the stored vectors."""
@@ -239,20 +185,6 @@ def expert_pair_vector_lr(spark, sf):
     return m.transform(d).select("pair_id", "split", vector_to_array("probability")[1].alias("p"))
 
 
-@register("pca_projection")
-def pca_projection(spark, sf):
-    """Centre and PCA, fitted on the training rows, to the components that
-    hold 95% of the variance (M5, W2)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import vector_to_array
-    from paircraft.operators.experts import reduced_size
-    train, allp = _expert_frames(spark, sf)
-    pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="c", withMean=True, withStd=False),
-                            PCA(k=reduced_size(train, "features"), inputCol="c", outputCol="pca")]).fit(train)
-    return pipe.transform(allp).select("pair_id", vector_to_array("pca").alias("pca"))
-
-
 @register("svd_projection")
 def svd_projection(spark, sf):
     """Truncated (uncentred) SVD of the stored vectors to 10 components (M3)."""
@@ -268,33 +200,6 @@ def table_embeddings(spark, sf):
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
-@register("encode_texts")
-def encode_texts(spark, sf):
-    """Distinct question texts encoded by the built-in hashed n-gram encoder,
-    384 wide, unit norm (M14)."""
-    from paircraft.operators.experts import encode_texts as enc
-    q = fx.pair_questions(spark, sf)
-    return enc(q, "question", "qkey", dim=384).select(
-        "qkey", F.size("embedding").alias("dim"),
-        F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
-
-
-@register("edit_ratio")
-def edit_ratio(spark, sf):
-    """Indel edit similarity of the two whole texts of each pair."""
-    from paircraft.operators.experts import edit_ratio_udf
-    p = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
-    return p.select("pair_id", edit_ratio_udf("question1", "question2").alias("ratio"))
-
-
-@register("token_set_ratio")
-def token_set_ratio(spark, sf):
-    """Token-set similarity of each pair (X11)."""
-    from paircraft.operators.experts import token_set_ratio_udf
-    p = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
-    return p.select("pair_id", token_set_ratio_udf("question1", "question2").alias("ratio"))
-
-
 @register("clean_text")
 def clean_text(spark, sf):
     """Cleaned and Porter-stemmed question text with its length and word
@@ -313,9 +218,24 @@ def refit_top_subsets(spark, sf):
     top = sorted(_search(spark, sf), key=lambda f: (f.best, gate.subset_key(NAMES, f.members), f.lr))[:10]
     again = gate.fit_many(train.unionByName(valid), NAMES, "y", [(f.members, f.lr) for f in top], min_delta=0.0,
                           epochs=[f.best_epoch + 1 for f in top], patience=201, lr_patience=None)
-    out = []
-    for rank, (f, g) in enumerate(zip(top, again, strict=True), start=1):
-        members, at = [NAMES[i] for i in f.members], np.ix_(f.members, f.members)
-        r = binary_metrics(gate.predict(test, members, g.W[at], g.b[list(f.members)], "p"), "p", "y").first()
-        out.append((gate.subset_key(NAMES, f.members), f.lr, f.best_epoch, rank, float(r.log_loss) if r else float("nan")))
+    # the ten blends are columns of one table, measured in one aggregation
+    scored = test.select("y", *NAMES)
+    for rank, g in enumerate(again, start=1):
+        members, at = [NAMES[i] for i in g.members], np.ix_(g.members, g.members)
+        scored = gate.predict(scored, members, g.W[at], g.b[list(g.members)], f"p{rank}")
+    each = ", ".join(f"{k}, p{k}" for k in range(1, len(again) + 1))
+    long = scored.selectExpr("y", f"stack({len(again)}, {each}) as (rank, p)")
+    losses = {r["rank"]: float(r["log_loss"]) for r in binary_metrics(long, "p", "y", ["rank"]).collect()}
+    out = [(gate.subset_key(NAMES, f.members), f.lr, f.best_epoch, k, losses.get(k, float("nan"))) for k, f in enumerate(top, start=1)]
     return spark.createDataFrame(out, "subset string, lr double, best_epoch int, rank int, test_log_loss double")
+
+
+@register("gate_fit_minibatch")
+def gate_fit_minibatch(spark, sf):
+    """Adam by mini-batches of 1024 on the training scores, tasks merged by
+    weighted averaging after each epoch, early stop on validation (G2, P5)."""
+    train, valid, _ = _split_matrix(spark, sf)
+    fitted = gate.fit_minibatch(train, NAMES, "y", lr=0.05, epochs=30, valid=valid)
+    rows = [("W", i, j, float(fitted.W[i][j])) for i in range(K) for j in range(K)]
+    rows += [("b", i, 0, float(fitted.b[i])) for i in range(K)]
+    return spark.createDataFrame(rows, "param string, i int, j int, value double")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,31 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.text(root)
 
 
+#: What a finished run's file, or the folder of its files, is called.
+RUN_FILE = r"gate_([^/]+)_lr([0-9.]+)_ep([0-9]+)(?:[.]pt)?(?:/[^/]*)?$"
+
+
+def found_runs(spark: SparkSession, pattern: str) -> DataFrame:
+    """(model, lr, epochs, path) of the run files that a glob finds (S11), from
+    the listing of the files: their paths are read, not their contents. No
+    match gives no rows; files of other names are left out."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "model string, lr double, epochs int, path string")
+    name = F.col("path")
+    part = lambda i: F.regexp_extract(name, RUN_FILE, i)
+    return files.select("path").where(name.rlike(RUN_FILE)).select(
+        part(1).alias("model"), part(2).cast("double").alias("lr"), part(3).cast("int").alias("epochs"), "path")
+
+
+def without_file(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """Runs (model, lr, epochs, ...) that no found file belongs to."""
+    return runs.join(found.select("model", "lr", "epochs").distinct(), ["model", "lr", "epochs"], "left_anti").select(*runs.columns)
+
+
 def log_lines(runs: DataFrame) -> DataFrame:
     """(value) log text built from the ``runs`` table: runs with epochs != 10
     are logged; every value ``note`` holds a comma; a run whose id ends in 1

@@ -27,19 +27,22 @@ def missing(spark: SparkSession, path: str, experts: Sequence[str]) -> list[str]
     return sorted(r.expert for r in wanted.join(have, "expert", "left_anti").collect())
 
 
-def drop_stale(spark: SparkSession, path: str, n_pairs: int) -> list[str]:
-    """Delete the partitions whose row count is not the number of pairs."""
+def stale(spark: SparkSession, path: str, n_pairs: int) -> list[str]:
+    """Experts whose partition has not one row per pair."""
     counts = cached(spark, path).groupBy("expert").count().where(F.col("count") != n_pairs).collect()  # a row per expert
-    for r in counts:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/expert={r.expert}")
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return sorted(r.expert for r in counts)
 
 
 def complete(spark: SparkSession, path: str, pairs: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """The cache with a partition per scorer: stale ones go, missing ones are
-    computed from ``pairs`` and stored, the others are read."""
-    drop_stale(spark, path, pairs.count())
-    for e in missing(spark, path, list(scorers)):
-        scorers[e](pairs).select("pair_id", F.col("p").cast("double").alias("p")).write.mode("overwrite").parquet(f"{path}/expert={e}")
+    """The cache with a partition per scorer. Stale and missing ones are
+    computed from ``pairs`` and put in place by one write that overwrites the
+    partitions it holds and no others (dynamic overwrite): the old rows stay
+    readable until the new ones are there. The others are read."""
+    todo = sorted(set(stale(spark, path, pairs.count())) & set(scorers) | set(missing(spark, path, list(scorers))))
+    new = None
+    for e in todo:
+        one = scorers[e](pairs).select("pair_id", F.col("p").cast("double").alias("p"), F.lit(e).alias("expert"))
+        new = one if new is None else new.unionByName(one)
+    if new is not None:
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("expert").parquet(path)
     return cached(spark, path).where(F.col("expert").isin(list(scorers)))
