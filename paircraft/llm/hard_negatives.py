@@ -124,15 +124,15 @@ class Group:
         self.runs = runs_of(self.labels)
 
 
-def positives(anchors: Group, others: Group, k: int) -> Heap:
+def positives(anchors: Group, others: Group, k: int, tile: int = TILE) -> Heap:
     """Each anchor's best k candidates of its label but itself; a slot is an anchor's row."""
     found = [empty_heap()]
     for label, rows in anchors.runs.items():
         if label in others.runs:
             heap, mine = empty_heap(), anchors.vectors[rows]
             least = np.full(rows.stop - rows.start, np.iinfo(np.int64).min)
-            for start in range(others.runs[label].start, others.runs[label].stop, TILE):
-                part = slice(start, min(start + TILE, others.runs[label].stop))
+            for start in range(others.runs[label].start, others.runs[label].stop, tile):
+                part = slice(start, min(start + tile, others.runs[label].stop))
                 scores = strassen(mine, others.vectors[part].T)
                 able = scores >= bars(heap, len(mine), k, least)[:, None]
                 able &= anchors.ids[rows][:, None] != others.ids[part]
@@ -142,7 +142,7 @@ def positives(anchors: Group, others: Group, k: int) -> Heap:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def negatives(anchors: Group, others: Group, best: Heap, k: int, per: int) -> Heap:
+def negatives(anchors: Group, others: Group, best: Heap, k: int, per: int, tile: int = TILE) -> Heap:
     """The best k candidates of other labels in the window of each positive in
     ``best``; a slot is ``per`` times an anchor's row plus the positive's place."""
     place = np.arange(len(best[0])) - np.searchsorted(best[0], best[0])
@@ -151,8 +151,8 @@ def negatives(anchors: Group, others: Group, best: Heap, k: int, per: int) -> He
     at = best[0] * per + place
     low[at], high[at] = -((-LOW * best[1]) // 100), HIGH * best[1] // 100
     heap = empty_heap()
-    for start in range(0, len(others.ids), TILE):
-        part = slice(start, start + TILE)
+    for start in range(0, len(others.ids), tile):
+        part = slice(start, start + tile)
         scores = strassen(anchors.vectors, others.vectors[part].T)
         other = anchors.labels[:, None] != others.labels[part]
         bar = bars(heap, slots, k, low).reshape(-1, per)
@@ -267,9 +267,9 @@ def mine(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     anchors = packed(rows.where(anchor), a_groups, width, 1).withColumnRenamed("part", "a")
     others = packed(rows, o_groups, width, 2)
     left = anchors.withColumnRenamed("a", "part")
-    best = merge_all(meet(left, others, a_groups, o_groups, width, lambda a, o, _: positives(a, o, n_pos)), o_groups, n_pos)
+    best = merge_all(meet(left, others, a_groups, o_groups, width, lambda a, o, _: positives(a, o, n_pos, TILE)), o_groups, n_pos)
     held = anchors.join(best, "a").withColumnRenamed("a", "part")
-    found = merge_all(meet(held, others, a_groups, o_groups, width, lambda a, o, heap: negatives(a, o, heap, n_neg, n_pos)), o_groups, n_neg)
+    found = merge_all(meet(held, others, a_groups, o_groups, width, lambda a, o, heap: negatives(a, o, heap, n_neg, n_pos, TILE)), o_groups, n_neg)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in one_by_one(batches):

@@ -122,7 +122,7 @@ def tops(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
             n = group[0]["n"]
-            tree = PathCopyTree([r["digest"] for r in group], n > BLOCK)
+            tree = PathCopyTree([r["digest"] for r in group], n > BLOCK, HEIGHT)
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array([group[0]["key"]], pa.string()), "at": pa.array([group[0]["block"]], pa.int64()),
                 "n": pa.array([-(-n // BLOCK)], pa.int64()), "digest": pa.array([tree.top], pa.string())})
@@ -146,7 +146,7 @@ def paths(rows: DataFrame, upper: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, *group in grouped(batches):
-            tree = PathCopyTree([r["digest"] for r in group], group[0]["n"] > BLOCK)
+            tree = PathCopyTree([r["digest"] for r in group], group[0]["n"] > BLOCK, HEIGHT)
             ways = [tree.siblings(i) for i in range(len(group))]
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array([head["key"]] * len(group), pa.string()), "at": pa.array([r["at"] for r in group], pa.int64()),
@@ -190,7 +190,7 @@ def versions(leaves: DataFrame, upper: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, *group in grouped(batches):
-            tree = PathCopyTree([r["digest"] for r in group], group[0]["n"] > BLOCK)
+            tree = PathCopyTree([r["digest"] for r in group], group[0]["n"] > BLOCK, HEIGHT)
             proofs, changed, folded = [], [], []
             for i, r in enumerate(group):
                 others, lefts = tree.siblings(i)
