@@ -15,19 +15,21 @@ read, and the model is a table of pieces x languages.
 A text that is null or has no letter is ``und`` with score 0, as is every text
 if there was nothing to learn from. Ties go to the language first in order.
 Languages that are null are no training rows; repeated rows count each; extra
-columns are ignored. Words longer than ``PART`` letters are scored in parts.
+columns are ignored. Pieces of all lengths and words of all lengths count
+whole: the sums over long words are scaled on the way. Training ends when a
+round raises the log-likelihood by less than ``GAIN`` of itself.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +37,14 @@ from pyspark.sql import functions as F
 from paircraft.llm.common import CACHE_ENTRIES, cut, slices, word_crc
 
 VOCAB = "piece_bpe_32k.model"
-#: Documents per language to learn from; rounds; pseudo-count; letters of a piece and of a word's part.
-SAMPLE_DOCS, ROUNDS, PSEUDO, PIECE, PART = 200, 3, 0.1, 8, 24
+#: Documents per language to learn from; rounds at most; relative gain of the last round; pseudo-count.
+SAMPLE_DOCS, ROUNDS, GAIN, PSEUDO = 200, 30, 1e-4, 0.1
+#: Letters after which the sums of a long word are scaled.
+STRIDE = 24
 #: Probability of a letter that is no piece, in any language.
 UNKNOWN = 1e-7
 START = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,12 +53,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def letter_words(text: str) -> list[str]:
-    """Runs of letters in lower case, marked at their start and cut in parts."""
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        w = START + w
-        out += [w[i:i + PART] for i in range(0, len(w), PART)] if len(w) > PART else [w]
-    return out
+    """Runs of letters in lower case, marked at their start."""
+    return [START + w for w in LETTERS.findall(text.lower())]
 
 
 class Pieces:
@@ -64,8 +64,9 @@ class Pieces:
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-        ok = [p for p in found if (b := p.removeprefix(START)) and b.isalpha() and len(p) <= PIECE] + [START]
+        ok = [p for p in found if (b := p.removeprefix(START)) and b.isalpha()] + [START]
         self.names = sorted(set(ok))
+        self.longest = max(map(len, self.names))
         self.unknown = len(self.names)  # its row: a single letter outside the vocabulary
         by_length = defaultdict(list)
         for i, p in enumerate(self.names):
@@ -88,7 +89,7 @@ class Pieces:
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), n).astype(np.uint64)
         for i in range(n):
             h = np.zeros(len(words), np.uint64)
-            for k in range(1, min(PIECE, n - i) + 1):
+            for k in range(1, min(self.longest, n - i) + 1):
                 h = (h + codes[:, i + k - 1]) * _BASE
                 if k not in self.tables:
                     continue
@@ -105,30 +106,55 @@ def pieces_of(path: str) -> Pieces:
 
 def forward(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log-probabilities (words x languages) of words of one length; ``prob``
-    (pieces x languages) ends with the rows of unknown letters and of zeros."""
-    n = len(words[0])
-    alpha = np.zeros((n + 1, len(words), prob.shape[1]))
+    (pieces x languages) ends with the rows of unknown letters and of zeros.
+    Only the sums within a piece's reach are kept."""
+    n, reach = len(words[0]), pieces.longest + 1
+    alpha = np.zeros((reach, len(words), prob.shape[1]))
     alpha[0] = 1
+    scale, now = np.zeros(alpha.shape[1:]), 0
     for i, k, ids in pieces.parts(words):
-        alpha[i + k] += alpha[i] * prob[ids]
-    return np.log(alpha[n])
-
-
-def expected(pieces: Pieces, words: list[str], counts: np.ndarray, prob: np.ndarray, out: np.ndarray) -> None:
-    """Add the expected piece counts of words of one length to ``out``;
-    ``prob`` and ``out`` are one language's."""
+        if i != now:
+            alpha[now % reach] = 0
+            now = i
+            if i % STRIDE == 0:
+                scale += np.log(alpha[i % reach])
+                alpha /= alpha[i % reach].copy()
+        alpha[(i + k) % reach] += alpha[i % reach] * prob[ids]
+    return np.log(alpha[n % reach]) + scale
+
+
+def expected(pieces: Pieces, words: list[str], counts: np.ndarray, prob: np.ndarray, out: np.ndarray) -> float:
+    """Add the expected piece counts of words of one length to ``out``, and
+    return their log-likelihood; ``prob`` and ``out`` are one language's."""
     n = len(words[0])
     spans = list(pieces.parts(words))
     alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
     alpha[0], beta[n] = 1, 1
+    # logarithms of what the sums up to a place, and from a place on, were divided by
+    before, after = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
+    now = 0
     for i, k, ids in spans:
+        if i != now:
+            now = i
+            if i % STRIDE == 0:
+                before[i:] += np.log(alpha[i])
+                alpha[i:] /= alpha[i].copy()
         alpha[i + k] += alpha[i] * prob[ids]
+    now = n
     for i, k, ids in reversed(spans):
+        if i + 1 < now:
+            now = i + 1
+            if now % STRIDE == 0:
+                # those within a piece's reach are read again
+                after[:now + pieces.longest] += np.log(beta[now])
+                beta[now:now + pieces.longest] /= beta[now].copy()
         beta[i] += beta[i + k] * prob[ids]
+    total = np.log(alpha[n]) + before[n]
     for i, k, ids in spans:
         hit = ids >= 0
-        share = alpha[i][hit] * prob[ids[hit]] * beta[i + k][hit] / alpha[n][hit] * counts[hit]
-        out += np.bincount(ids[hit], share, len(out))
+        size = np.exp(before[i][hit] + after[i + k][hit] - total[hit]) * counts[hit]
+        out += np.bincount(ids[hit], alpha[i][hit] * prob[ids[hit]] * beta[i + k][hit] * size, len(out))
+    return float(total @ counts)
 
 
 def by_length(words: list[str]) -> dict[int, list[int]]:
@@ -223,28 +249,35 @@ def train(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", tex
                   .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     size = len(pieces_of(vocab or public_tokenizers.path(VOCAB)).names)
-    prob = np.full((size, len(langs)), 1 / size)
+    prob, last = np.full((size, len(langs)), 1 / size), -np.inf
     for _ in range(rounds if langs else 0):
         now = prob
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = pieces_of(vocab or public_tokenizers.path(VOCAB))
-            full, sums = with_zero(now), np.zeros((size + 1, len(langs)))
+            full, sums, likelihood = with_zero(now), np.zeros((size + 1, len(langs))), 0.0
             for b in batches:
                 lang, word, n = (b.column(i).to_pylist() for i in range(3))
                 for at, name in enumerate(langs):
                     mine = [i for i, x in enumerate(lang) if x == name]
                     for ix in by_length([word[i] for i in mine]).values():
-                        expected(pieces, [word[mine[i]] for i in ix], np.array([n[mine[i]] for i in ix], float),
-                                 full[:, at], sums[:, at])
+                        likelihood += expected(pieces, [word[mine[i]] for i in ix], np.array([n[mine[i]] for i in ix], float),
+                                               full[:, at], sums[:, at])
             piece, at = np.nonzero(sums[:size])
-            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(at), pa.array(sums[piece, at])], ["piece", "at", "n"])
+            cols = np.r_[piece, -1], np.r_[at, -1], np.r_[sums[piece, at], likelihood]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["piece", "at", "n"])
 
         got = counted.mapInArrow(gather, "piece bigint, at bigint, n double").groupBy("piece", "at").agg(F.sum("n").alias("n"))
-        prob = np.full((size, len(langs)), PSEUDO)
-        for r in got.collect():  # pieces x languages at most
-            prob[r.piece, r["at"]] += r.n
+        prob, likelihood = np.full((size, len(langs)), PSEUDO), 0.0
+        for r in got.collect():  # pieces x languages at most, and the likelihood
+            if r.piece < 0:
+                likelihood = r.n
+            else:
+                prob[r.piece, r["at"]] += r.n
         prob = prob / prob.sum(axis=0)
+        if likelihood - last < GAIN * abs(likelihood):
+            break
+        last = likelihood
     return langs, prob
 
 

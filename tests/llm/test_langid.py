@@ -46,6 +46,34 @@ def test_forward_sums_all_segmentations(pieces):
                 assert np.allclose(out, 3 * counts[:len(out)] / total)
 
 
+def test_long_words_are_summed_whole(pieces, monkeypatch):
+    """Scaled sums equal plain ones, and do not run out of range."""
+    rng = np.random.default_rng(1)
+    prob = langid.with_zero(rng.random((len(pieces.names), 2)) / len(pieces.names))
+    words = ["▁internationalizationabcd", "▁donaudampfschifffahrtsge"]
+    assert pieces.longest > 8 and len(words[0]) == len(words[1])
+    monkeypatch.setattr(langid, "STRIDE", 10 ** 9)
+    plain, counts = langid.forward(pieces, words, prob), np.zeros(len(prob) - 1)
+    like = langid.expected(pieces, words, np.ones(2), prob[:, 0], counts)
+    for stride in (1, 3, 7):
+        monkeypatch.setattr(langid, "STRIDE", stride)
+        again = np.zeros(len(prob) - 1)
+        assert np.allclose(langid.forward(pieces, words, prob), plain)
+        assert np.isclose(langid.expected(pieces, words, np.ones(2), prob[:, 0], again), like) and np.allclose(again, counts)
+    assert np.isclose(like, plain[:, 0].sum())
+    monkeypatch.undo()
+    assert np.isfinite(langid.forward(pieces, ["▁" + "the" * 3000], prob)).all()
+    again = np.zeros(len(prob) - 1)
+    langid.expected(pieces, ["▁" + "the" * 300], np.ones(1), prob[:, 0], again)
+    assert np.isfinite(again).all() and again.sum() > 200
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100, "² ½ ① Ⅷ 12", "en"), (101, "²the", "en")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got[100] == "und" and got[101] == "en"
+
+
 def test_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
