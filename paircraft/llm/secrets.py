@@ -7,9 +7,9 @@ and do not overlap. A match's place follows from the text between the matches
 Ownership: candidates of the broader kind ``owned`` (long tokens that mix
 letters and digits) are hashed, and each hash's distinct owners and distinct
 repositories (an owner's parts) are counted over the whole corpus. A token
-that stays with few owners looks like a live credential and its span is added;
-one that many owners share is a copied example, an id or a checksum, and is
-not. Spans of the base kinds always stay; their ownership is told by
+that stays with few owners, and in few repositories of each, looks like a live
+credential and its span is added; one that many owners share, or that an owner
+has all over the place, is a copied example, an id or a checksum, and is not. Spans of the base kinds always stay; their ownership is told by
 ``n_live`` and ``n_example``.
 
 Null texts are empty; repeated rows are scanned and returned each; a null
@@ -34,8 +34,13 @@ HEX = r"[0-9a-f]{16,}"  # maximal runs, so dropping short ones and not matching
 OWNED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "owned")
-#: Distinct owners up to which a value counts as owned.
-MAX_OWNERS = 2
+#: Distinct owners, and repositories for each of them, up to which a value counts as owned.
+MAX_OWNERS, REPOS_PER_OWNER = 2, 2
+
+
+def is_owned(max_owners: int = MAX_OWNERS) -> Column:
+    """Few owners, and few of their repositories: wider copies are examples."""
+    return (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= REPOS_PER_OWNER * F.col("n_owners"))
 
 
 def spans_of(text: Column, pattern: str, kind: str, least: int, value_group: int = 0) -> Column:
@@ -102,7 +107,7 @@ def located(docs: DataFrame, text: Column, owner: Column, repo: Column, keep: Co
     one = (found.where(some).select("row", "owner", "repo", F.explode(F.concat("base", "wide")).alias("m"))
            .withColumn("hash", F.xxhash64("m.value")))
     told = one.join(ownership(one.select("hash", "owner", "repo")), "hash")
-    live, wide = F.col("n_owners") <= max_owners, F.col("m.kind") == "owned"
+    live, wide = is_owned(max_owners), F.col("m.kind") == "owned"
     per_row = told.groupBy("row").agg(
         F.collect_list(F.when(live & wide, F.struct("m.start", "m.kind_no", "m.end", "m.kind"))).alias("added"),
         F.count_if(live & ~wide).alias("n_live"), F.count_if(~live & ~wide).alias("n_example"))
@@ -169,8 +174,9 @@ s AS (SELECT rid, kind_no, kind, vals[i] AS v,
         CAST(list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS st,
         length(found[i]) AS n FROM m WHERE length(vals[i]) >= least
         AND (kind <> 'owned' OR (regexp_matches(vals[i], '[0-9]') AND regexp_matches(vals[i], '[A-Za-z]')))),
-o AS (SELECT v, count(DISTINCT source) + max(CAST(source IS NULL AS INT)) AS owners FROM s JOIN d USING (rid) GROUP BY v),
-a AS (SELECT s.*, st + n AS en, owners <= {max_owners} AS live FROM s JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT source) + max(CAST(source IS NULL AS INT)) AS owners, count(DISTINCT {{'s': source, 'l': lang}}) AS repos
+  FROM s JOIN d USING (rid) GROUP BY v),
+a AS (SELECT s.*, st + n AS en, owners <= {max_owners} AND repos <= {REPOS_PER_OWNER} * owners AS live FROM s JOIN o USING (v)),
 k AS (SELECT * FROM a WHERE kind <> 'owned' OR (live AND NOT EXISTS (SELECT 1 FROM a b WHERE b.rid = a.rid AND b.kind <> 'owned'
       AND a.st < b.en AND b.st < a.en))),
 g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = set(E.queries())
     assert "pipeline" in names and set(QUERIES) <= names and set(ORACLE) <= set(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_against_brute_force(spark, tmp_path):

@@ -13,8 +13,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
 def brute(rows, max_owners=secrets.MAX_OWNERS):
     """rows: (doc_id, text, source, lang)"""
-    base, wide, owners = [], [], defaultdict(set)
-    for _, t, src, _lang in rows:
+    base, wide, owners, repos = [], [], defaultdict(set), defaultdict(set)
+    for _, t, src, lang in rows:
         b = [(m.start(), k, m.end(), kind, m.group(g)) for k, (kind, p, g, least) in enumerate(BASE)
              for m in p.finditer(t or "") if len(m.group(g)) >= least]
         w = [(m.start(), 3, m.end(), "owned", m.group()) for m in RUN.finditer(t or "")
@@ -23,11 +23,13 @@ def brute(rows, max_owners=secrets.MAX_OWNERS):
         wide.append(w)
         for x in b + w:
             owners[x[4]].add(src)
+            repos[x[4]].add((src, lang))
+    owned = lambda v: len(owners[v]) <= max_owners and len(repos[v]) <= secrets.REPOS_PER_OWNER * len(owners[v])
     out = []
     show = lambda xs: ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in xs)
     for (d, *_), b, w in zip(rows, base, wide, strict=True):
-        add = [x for x in w if len(owners[x[4]]) <= max_owners and not any(x[0] < y[2] and y[0] < x[2] for y in b)]
-        live = sum(len(owners[x[4]]) <= max_owners for x in b)
+        add = [x for x in w if owned(x[4]) and not any(x[0] < y[2] and y[0] < x[2] for y in b)]
+        live = sum(owned(x[4]) for x in b)
         out.append((d, *(sum(x[1] == k for x in b) for k in range(3)), hashlib.sha256(show(b).encode()).hexdigest(),
                     show(sorted(b + add)), live, len(b) - live))
     return sorted(out, key=str)
@@ -40,7 +42,9 @@ ROWS = [
     (5, "deadbeef" * 4 + " 0123456789abcde", "b", "en"), (5, "deadbeef" * 4 + " 0123456789abcde", "b", "en"),
     (6, "Zx9" * 9 + " and " + "Zx9" * 9, "a", "en"), (7, "Zx9" * 9, "b", "en"), (8, "Qw7" * 9, "a", "en"),
     (9, "Zx9" * 9, None, "en"), (10, "x" * 60000 + " passwd=" + "k" * 12 + "\n" + "ñ" * 70 + "Token : \"" + "k" * 11, "a", "de"),
-    (11, f"secret={T}secret={T} token=short password {T} apikey:{T}", "c", "en")]
+    (11, f"secret={T}secret={T} token=short password {T} apikey:{T}", "c", "en"),
+    *[(20 + k, "Yb4" * 9 + " token=" + "Yc5" * 6, "d", lang) for k, lang in enumerate(("en", "de", "fr"))],  # one owner, all its repositories
+    *[(30 + k, "Yd6" * 9, "d", lang) for k, lang in enumerate(("en", "de"))]]
 
 
 def test_spans_against_brute_force(spark):
@@ -48,6 +52,8 @@ def test_spans_against_brute_force(spark):
     docs = docs.withColumns({"base": F.lit("x"), "row": F.lit(1), "spans": F.lit("s"), "keep": F.lit(0)})
     got = secrets.report(docs, F.col("source"), F.struct("source", "lang")).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(ROWS)
+    by = {r.doc_id: r for r in got}
+    assert by[20].spans == "assign:28:52" and by[20].n_example == 1 and by[30].spans == "owned:0:27"
     assert secrets.report(docs.limit(0), F.col("source"), F.col("lang")).count() == 0
 
 
