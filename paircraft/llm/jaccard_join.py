@@ -23,6 +23,11 @@ components of the links without any list of all pairs:
    island exceeds the bound.
 4. A region's task joins it exactly: documents outside its largest component
    are compared with all others; those inside it are connected already.
+5. Where pivots take out too few (documents that a common passage chains but
+   that lie in no pivot's radius), what is left is windowed by the distance to
+   the empty set, the size: documents that link differ by no more than the
+   threshold in size, so a band of sizes meets itself and the next one, in
+   salted blocks of bounded size. This ends after one pass whatever the data.
 
 Empty and null texts link with nothing. Equal sets are one node from the
 start. Repeated rows are kept; a null id never becomes a component's id while
@@ -32,6 +37,7 @@ input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -51,6 +57,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
 #: Documents of a region, a block or a slice that one task joins, about; pivots of a round: documents for
 #: each, at least, at most.
 REGION, PER_PIVOT, PIVOTS, MAX_PIVOTS = 4096, 64, 16, 256
+#: Shingles of a region, a block or a slice, about; share of the members that a round of pivots has to take out.
+REGION_SHINGLES, PROGRESS = 1 << 22, 0.125
 
 
 def packed(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFrame:
@@ -295,6 +303,37 @@ def contract(members: DataFrame, percent: int, seed: int) -> tuple[DataFrame, Da
     return cut(spokes.unionByName(found)), placed.where(F.size("near") == 0).select("node", "n", "keys")
 
 
+def with_parts(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, count, parts): members of each group, and the salts that bound their number and shingles."""
+    return members.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / REGION), F.ceil(F.sum(F.size("keys").cast("bigint")) / REGION_SHINGLES)).cast("int").alias("parts"))
+
+
+def in_bands(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of members (region, node, n, keys), by bands of their size."""
+    # a little wider than the ratio, so that rounding can't put two bands between documents that link
+    width = math.log(100 / percent) + 1e-9
+    banded = cut(members.withColumn("band", F.floor(F.log("n") / width)))
+    parts = cut(with_parts(banded, ["region", "band"]).select("region", "band", "parts"))
+    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
+    mine = banded.join(parts, ["region", "band"]).select("region", "band", "node", "parts", salt.alias("salt"))
+    each = F.sequence(F.lit(0), F.col("parts") - 1)
+    within = mine.select("region", "band", "node", "salt", F.explode(each).alias("other"))
+    within = within.select("region", "band", F.lit(0).alias("step"), F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"),
+                           "node", F.when(F.col("salt") != F.col("other"), F.col("salt") > F.col("other")).alias("asks"))
+    above = parts.select("region", (F.col("band") - 1).alias("band"), F.col("parts").alias("far"))
+    below = parts.select("region", (F.col("band") + 1).alias("band"), F.col("parts").alias("far"))
+    far = F.explode(F.sequence(F.lit(0), F.col("far") - 1)).alias("other")
+    up = mine.join(above, ["region", "band"]).select("region", "band", F.lit(1).alias("step"), F.col("salt").alias("i"), "node", far, F.lit(True).alias("asks"))
+    up = up.withColumnRenamed("other", "j")
+    down = mine.join(below, ["region", "band"]).select("region", (F.col("band") - 1).alias("band"), F.lit(1).alias("step"), F.col("salt").alias("j"), "node",
+                                                       far, F.lit(False).alias("asks")).withColumnRenamed("other", "i")
+    both = within.unionByName(up).unionByName(down)
+    both = both.select(F.xxhash64("region", "band", "step", "i", "j").alias("region"), "node", "asks")
+    return join_regions(both.join(banded.select("node", "n", "keys"), "node"), percent)
+
+
 def islands_of(keys: DataFrame) -> DataFrame:
     """(node, region) of the nodes that a chain of ``keys`` (key, node) connects."""
     least = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
@@ -305,14 +344,22 @@ def islands_of(keys: DataFrame) -> DataFrame:
 def link(nodes: DataFrame, keys: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the nodes (node, n, keys array) that link; ``keys``
     (key, node): pairs that link share a key. Every round takes its pivots and
-    all within r of them out of the large regions."""
+    all within r of them out of the large regions; a round that takes out less
+    than ``PROGRESS`` of their members is the last one."""
     members = cut(nodes.join(islands_of(keys), "node").select("region", "node", "n", "keys"))
     edges, seed = None, 0
     while True:
-        sizes = cut(members.groupBy("region").count().where(F.col("count") > REGION))
-        if not sizes.count():
+        sizes = cut(with_parts(members, ["region"]).where("parts > 1").select("region", "count"))
+        before = sizes.agg(F.sum("count")).first()[0]
+        if not before:
             break
         near, rest = contract(cut(members.join(sizes, "region")), percent, seed)
+        if rest.count() > (1 - PROGRESS) * before:
+            left = rest.join(members.select("node", "region"), "node").select("region", "node", "n", "keys")
+            near = cut(near.unionByName(in_bands(left, percent)))
+            members = cut(members.join(sizes, "region", "left_anti"))
+            edges = near if edges is None else edges.unionByName(near)
+            break
         parted = rest.join(islands_of(keys.join(rest.select("node"), "node", "left_semi")), "node")
         members = cut(members.join(sizes, "region", "left_anti").unionByName(parted.select("region", "node", "n", "keys")))
         edges = near if edges is None else edges.unionByName(near)

@@ -106,6 +106,31 @@ def test_family_of_near_copies_is_dealt_out(spark, monkeypatch, pivots, n):
     assert max(c for _, c in seen) < 3 * 64 and sum(c for _, c in seen) < 8 * n
 
 
+def chained(rnd, n):
+    """Texts of 6 passages out of 60: chained, but no two link, but for a few copies with a small edit."""
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(60)]
+    rows = []
+    for i in range(n):
+        t = [w for k in rnd.sample(range(60), 6) for w in passages[k]]
+        rows.append((i, " ".join(t)))
+        if i % 20 == 0:
+            rows += [(1000 + i, " ".join(t[:-8])), (2000 + i, " ".join([*t, *[f"z{j}" for j in range(i % 40)]]))]
+    return rows
+
+
+@pytest.mark.parametrize("shingles", [1 << 22, 2000])
+def test_island_that_no_pivot_covers(spark, monkeypatch, shingles):
+    monkeypatch.setattr(jaccard_join, "REGION", 32)
+    monkeypatch.setattr(jaccard_join, "REGION_SHINGLES", shingles)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 8)
+    banded, bands = [], jaccard_join.in_bands
+    monkeypatch.setattr(jaccard_join, "in_bands", lambda m, percent: banded.append(m.count()) or bands(m, percent))
+    rows = chained(random.Random(1), 240)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert len(banded) == 1 and banded[0] > 100  # one pass ends it
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard_join.jaccard_components(docs).count() == 0
