@@ -43,6 +43,19 @@ def containment(q1, q2) -> Column:
     return set_containment(jaccard_token_set(q1), jaccard_token_set(q2))
 
 
+def white_tokens(text) -> Column:
+    """Distinct tokens between white space of a text; none for null."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(_c(text), F.lit("")), r"\s+"), lambda t: t != ""))
+
+
+def token_set_parts(q1, q2) -> list[Column]:
+    """Sizes of the three sets that the token-set ratio compares (X11): tokens
+    of both texts, of the first only, of the second only."""
+    a, b = white_tokens(q1), white_tokens(q2)
+    return [F.size(F.array_intersect(a, b)).cast("bigint").alias("shared"), F.size(F.array_except(a, b)).cast("bigint").alias("only1"),
+            F.size(F.array_except(b, a)).cast("bigint").alias("only2")]
+
+
 def length_diffs(q1, q2) -> list[Column]:
     """|char count difference|, |word count difference|."""
     return [F.abs(char_count(q1) - char_count(q2)).alias("char_diff"),

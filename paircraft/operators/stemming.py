@@ -1,14 +1,14 @@
-"""Porter stemming as a job, not a per-row call.
+"""Porter stemming as a job.
 
-Tokens are exploded with their positions, the **distinct** tokens are
-stemmed once by an Arrow UDF (the dictionary replaces the reference's
-per-process memo cache), joined back on the token and reassembled in text
-order per document. The stemmer is the published Porter (1980) algorithm.
+Token arrays go to Python in Arrow batches as they lie; a task stems each
+distinct token once and remembers it (a bounded memory in place of the
+reference's per-process cache). No token is shuffled, so frequent tokens are
+no hot keys. The stemmer is the published Porter (1980) algorithm.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,22 +124,31 @@ def porter_stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf(T.StringType())
-def stem_udf(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: porter_stem(t) if t and t != "?" and "'" not in t else t)
+#: Stems that a task remembers before it starts anew (bounds a worker's memory).
+CACHE_STEMS = 300_000
+
+
+class Stems(dict):
+    """token -> stem, made once per task and token."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= CACHE_STEMS:
+            self.clear()
+        stem = self[token] = porter_stem(token) if token and token != "?" and "'" not in token else token
+        return stem
 
 
 def stem_column(df: DataFrame, key: str, tokens: str, out: str = "clean") -> DataFrame:
     """Stem the token arrays of ``df`` (key, tokens) and return (key, out)
-    with the stemmed tokens joined by a space, in text order."""
-    pos = df.select(key, F.posexplode_outer(tokens).alias("pos", "tok"))
-    vocab = pos.where(F.col("tok").isNotNull()).select("tok").distinct()
-    stems = vocab.select("tok", stem_udf("tok").alias("stem"))
-    j = pos.join(stems, "tok", "left")
-    return (j.groupBy(key)
-             .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
-                                                     F.struct("pos", "stem")))).alias("_s"))
-             .select(key, F.array_join(F.transform("_s", lambda s: s["stem"]), " ").alias(out)))
+    with the stemmed tokens joined by a space, in text order. Texts go to
+    Python as they are dealt, so no token is shuffled; a null array gives ''."""
+
+    def run(batches):
+        stems = Stems()
+        for b in batches:
+            texts = [" ".join([stems[t] for t in row if t is not None]) if row else "" for row in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [key, out])
+    return df.select(key, tokens).mapInArrow(run, T.StructType([df.schema[key], T.StructField(out, T.StringType())]))
 
 
 def question_meta(questions: DataFrame, key: str = "qkey", text: str = "question") -> DataFrame:

@@ -138,3 +138,61 @@ def softmax_scores(spark, sf):
     names = list(fx.SCORE_EXPERTS)
     wide = fx.scores(spark, sf).groupBy("pair_id").pivot("expert", names).agg(F.max("p"))
     return wide.select("pair_id", *[w.alias(f"w_{e}") for e, w in zip(names, metrics.softmax_cols([F.col(e) for e in names]))])
+
+
+# ---------------------------------------------------------------- tables written and read again
+@register("question_table", O.with_(O.DOC_PAIRS) + f"""
+SELECT md5(q) AS qkey, length(q) AS n_chars, {O.clean_nostem('q')} AS clean FROM
+  (SELECT DISTINCT q FROM (SELECT question1 AS q FROM doc_pairs UNION ALL SELECT question2 FROM doc_pairs) WHERE q IS NOT NULL)""")
+def question_table(spark, sf):
+    """The question table written once and read back with its cleaned texts (S3)."""
+    path = _folder(spark, "questions")
+    write_table(fx.pair_questions(spark, sf), path)
+    return spark.read.parquet(path).select("qkey", F.length("question").cast("bigint").alias("n_chars"), "clean")
+
+
+@register("vector_table", f"""
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, {R('list_sum([CAST(x AS DOUBLE) FOR x IN embedding])')} AS total FROM embeddings""")
+def vector_table(spark, sf):
+    """Vectors written as array<float> and read back, the label's column left
+    unread (S4)."""
+    path = _folder(spark, "vectors")
+    write_table(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return spark.read.parquet(path).select("vec_id", F.size("embedding").alias("dim"), total.alias("total"))
+
+
+@register("summary_csv", O.with_(O.DOC_PAIRS) + """
+SELECT is_duplicate, count(*) AS n FROM doc_pairs WHERE is_duplicate IS NOT NULL GROUP BY is_duplicate""")
+def summary_csv(spark, sf):
+    """A summary written as one CSV file and read with its schema."""
+    from paircraft.sources.tables import write_summary_csv
+    path = _folder(spark, "summary")
+    pairs = fx.doc_pairs(spark, sf).where(F.col("is_duplicate").isNotNull())
+    write_summary_csv(pairs.groupBy("is_duplicate").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("is_duplicate int, n bigint").option("header", True).csv(path)
+
+
+@register("conform_label", """
+SELECT doc_id, CAST(toxic AS INTEGER) AS toxic FROM labels""")
+def conform_label(spark, sf):
+    """Labels that came as text, as 0/1 integers."""
+    text = table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("string").alias("toxic"))
+    return tables.conform_label(text, "toxic")
+
+
+def _tokens_sql(q: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array({q}, '\\s+'), lambda t: t <> ''))"
+
+
+@register("token_set_parts", O.with_(O.DOC_PAIRS) + f""",
+_t AS (SELECT pair_id, {_tokens_sql('question1')} AS a, {_tokens_sql('question2')} AS b FROM doc_pairs
+       WHERE question1 IS NOT NULL AND question2 IS NOT NULL),
+_n AS (SELECT pair_id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS shared FROM _t)
+SELECT pair_id, CAST(shared AS BIGINT) AS shared, CAST(na - shared AS BIGINT) AS only1, CAST(nb - shared AS BIGINT) AS only2 FROM _n""")
+def token_set_parts(spark, sf):
+    """Sizes of the common and the remaining token sets of each pair, the set
+    part of the token-set ratio (X11)."""
+    from paircraft.functions.similarity import token_set_parts as parts
+    p = tables.drop_null_pairs(fx.doc_pairs(spark, sf))
+    return p.select("pair_id", *parts("question1", "question2"))
