@@ -7,15 +7,17 @@ prior on the next lower order,
     p(w | h) = (c(h w) + MU p(w | h')) / (c(h) + MU),
 
 h' being h without its first word; the lowest order discounts known words by
-``DISCOUNT`` and gives the mass to one class of unknown words. This is the
-distribution of a weighted backoff automaton, whose states are histories and
-whose failure arcs weigh MU / (c(h) + MU); no such automaton is built here. The
-formula is evaluated for all tokens of a block at once, order by order.
+``DISCOUNT`` and gives the mass to one class of unknown words. A weighted
+backoff automaton has these probabilities: its states are the histories that
+training texts hold, an arc weighs log10 p(w | h) of an n-gram that they hold,
+and a failure arc, which weighs log10 (MU / (c(h) + MU)), leads to h'. Each text
+is read once from left to right, carrying the state and adding up weights.
 
 The table of n-grams grows with the corpus and is nowhere whole. Each block of
 documents sends its distinct n-grams, with their training counts, to hash
 ranges; a range's task adds up the counts of all blocks and answers each block
-with the totals of its own n-grams, by which the block scores its texts. A
+with the totals of its own n-grams, from which the block builds the part of the
+automaton that its texts can reach. A
 frequent n-gram is one number per block, so no range is hot. Unigrams are told apart by 64-bit
 hashes, longer n-grams by 32 bits and their range (of 2^32 unseen n-grams in a
 range one in 1,000 is taken for a seen one per 4 million).
@@ -44,6 +46,8 @@ from paircraft.llm.common import WordCodes, cut, mix, n_parts, slices, word_crc,
 ORDER, MU, DISCOUNT = 2, 4.0, 0.75
 #: Documents and tokens of a block, at most (one longer text is a block of its own).
 BLOCK_DOCS, BLOCK_TOKENS = 2048, 600_000
+#: Tokens that are read in one go; longer texts are read in stretches side by side.
+STRETCH = 512
 END, PAD = np.uint64(1), np.uint64(2)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,26 +164,98 @@ def answer(asked: DataFrame, order: int, ranges: int) -> DataFrame:
 
 
 class Automaton:
-    """Totals of a block's distinct n-grams, each named by its place among them."""
+    """The weighted backoff automaton of a block's n-grams.
 
-    def __init__(self, totals: list[np.ndarray], n: int, v: int, texts: int, mu: float, discount: float):
+    A state is a history that training texts hold (state 0: the empty one; the
+    last states: what stands before a text). ``arc_key`` has an arc's state and
+    token in one number, in order; ``arc_weight`` its log10 probability and
+    ``arc_target`` the state of the longest known history that it leads to. A
+    state without an arc for a token is left by its failure arc, at
+    ``fail_weight``, to ``fail_target``, the history without its first word. The
+    empty history has an arc for every token."""
+
+    def __init__(self, block: Block, totals: list[np.ndarray], at: list[np.ndarray], n: int, v: int, texts: int, mu: float, discount: float):
         """totals[k]: training counts of the block's distinct (k + 1)-grams;
-        texts: training texts, the count of the state before a text's first token."""
-        self.totals, self.n, self.v, self.texts, self.mu = totals, n, v, texts, mu
+        at[k]: the place among them of the one that ends at each token; texts:
+        training texts, the count of the states before a text's first token."""
+        order, self.words = len(totals), len(totals[0])
         c = totals[0]
-        known = (c - discount) / max(n, 1)
-        self.base = np.where(c > 0, known, discount * v / max(n, 1)) if n else np.ones(len(c))
-
-    def traverse(self, block: Block, at: list[np.ndarray]) -> np.ndarray:
-        """log10 p of every token; at[k]: the place of the (k + 1)-gram that
-        ends at it. One pass per order: where the arc is missing, its count is
-        0 and what is left is the failure arc's weight times the lower order."""
-        p = self.base[at[0]]
-        for k in range(1, len(at)):
-            arc = self.totals[k][at[k]]
-            state = block.shifted(self.totals[k - 1][at[k - 1]], self.texts)
-            p = (arc + self.mu * p) / (state + self.mu)
-        return np.log10(p)
+        p = np.where(c > 0, (c - discount) / max(n, 1), discount * v / max(n, 1)) if n else np.ones(len(c))
+        first_state = np.cumsum([1, *[len(t) for t in totals[:-1]]])  # of the histories of length k + 1
+        self.start = int(first_state[-1]) - 1  # plus k: the state of k words of padding
+        states = self.start + order
+        self.fail_target, count = np.zeros(states, np.int64), np.zeros(states)
+        for k in range(1, order):
+            self.fail_target[self.start + k] = self.start + k - 1 if k > 1 else 0
+            count[self.start + k] = texts
+        key, weight, target, shorter = [], [], [], None
+        for k, total in enumerate(totals):
+            token = np.empty(len(total), np.int64)  # one at which the gram ends
+            token[at[k][::-1]] = np.arange(len(at[k]))[::-1]
+            seen = total > 0
+            lower = at[k - 1][token] if k else None
+            if k:
+                text_start = block.first[token]
+                state = np.where(text_start, self.start + k, first_state[k - 1] + at[k - 1][token - 1])
+                p = (total + mu * p[lower]) / (np.where(text_start, texts, totals[k - 1][at[k - 1][token - 1]]) + mu)
+            else:
+                state = np.zeros(len(total), np.int64)
+            if k < order - 1:
+                # the longest known history at the end of each gram
+                known = np.where(seen, first_state[k] + np.arange(len(total)), shorter[lower] if k else 0)
+                mine = slice(first_state[k], first_state[k] + len(total))
+                count[mine], self.fail_target[mine] = total, shorter[lower] if k else 0
+            else:
+                known = shorter[lower] if k else np.zeros(len(total), np.int64)
+            arcs = seen if k else np.ones(len(total), bool)
+            key.append((state * self.words + at[0][token])[arcs])
+            weight.append(np.log10(p)[arcs])
+            target.append(known[arcs])
+            shorter = known
+        self.fail_weight = np.log10(mu / (count + mu))
+        order_of = np.argsort(key := np.concatenate(key), kind="stable")
+        self.arc_key, self.arc_weight, self.arc_target = key[order_of], np.concatenate(weight)[order_of], np.concatenate(target)[order_of]
+        self.order = order
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log10 weights) of reading one token in each state."""
+        out, total, todo = np.empty_like(state), np.zeros(len(state)), np.arange(len(state))
+        state = state.copy()
+        while len(todo):
+            want = state[todo] * self.words + token[todo]
+            arc = np.minimum(np.searchsorted(self.arc_key, want), len(self.arc_key) - 1)
+            hit = self.arc_key[arc] == want
+            done, arc = todo[hit], arc[hit]
+            out[done] = self.arc_target[arc]
+            total[done] += self.arc_weight[arc]
+            todo = todo[~hit]
+            total[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail_target[state[todo]]
+        return out, total
+
+    def traverse(self, block: Block, tokens: np.ndarray, stretch: int) -> np.ndarray:
+        """log10 p of every token. All texts are read left to right side by
+        side, each carrying its state. A text of more than ``stretch`` tokens is
+        read in stretches; a later one begins ``order`` - 1 tokens early, from
+        the empty history, which leaves it in the state of the text so far."""
+        begin = block.ends - block.lengths
+        count = -(-block.lengths // stretch)
+        text = np.repeat(np.arange(len(begin)), count)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * stretch
+        early = np.where(place > 0, self.order - 1, 0)
+        from_ = begin[text] + place - early
+        size = np.minimum(stretch, block.lengths[text] - place) + early
+        longest = np.argsort(-size, kind="stable")
+        from_, size, early = from_[longest], size[longest], early[longest]
+        state = np.where(early == 0, self.start + self.order - 1 if self.order > 1 else 0, 0)
+        state[place[longest] > 0] = 0
+        logs = np.zeros(len(tokens))
+        for t in range(int(size[0])):
+            on = int(np.searchsorted(-size, -t, "left"))  # those with more than t tokens
+            state[:on], weight = self.step(state[:on], tokens[from_[:on] + t])
+            told = t >= early[:on]
+            logs[from_[:on][told] + t] = weight[told]
+        return logs
 
 
 def scores(docs: DataFrame, order: int = ORDER, mu: float = MU, discount: float = DISCOUNT, id_col: str = "doc_id",
@@ -223,7 +299,7 @@ def scores(docs: DataFrame, order: int = ORDER, mu: float = MU, discount: float
             at.append(place)
         begin = block.ends - block.lengths
         c = totals[0][at[0]]
-        logs = Automaton(totals, n, v, texts, mu, discount).traverse(block, at)
+        logs = Automaton(block, totals, at, n, v, texts, mu, discount).traverse(block, at[0], STRETCH)
         base = np.log10((c + 1) / (n + v + 1))
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(held), pa.array(block.lengths), pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)),

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from paircraft.llm import ngram_lm
@@ -68,3 +69,39 @@ def test_table_beats_the_base_on_held_out(spark):
     close(got, brute([(r.doc_id, r.text) for r in docs.collect()], 2))
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def small(order, texts=("a b a c", "a b", "b"), training=(True, True, False)):
+    codes = ngram_lm.WordCodes()
+    block = ngram_lm.Block([codes.of(t.encode().split()) for t in texts], list(training), order)
+    totals, at = [], []
+    for grams in block.grams:
+        keys, place, _, _ = ngram_lm.distinct(grams, 1)
+        totals.append(np.bincount(place[block.training], minlength=len(keys)))
+        at.append(place)
+    n, v = int(totals[0].sum()), int((totals[0] > 0).sum())
+    return block, at, ngram_lm.Automaton(block, totals, at, n, v, sum(training), ngram_lm.MU, ngram_lm.DISCOUNT)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_arcs_and_failure_arcs(order):
+    block, at, auto = small(order)
+    assert (np.diff(auto.arc_key) > 0).all()  # one arc per state and token
+    state = np.arange(len(auto.fail_target))
+    for _ in range(order):  # failure arcs end at the empty history
+        state = auto.fail_target[state]
+    assert not state.any() and (auto.fail_weight <= 0).all() and auto.fail_weight[0] == 0
+    # from every state that an arc leads to, the tokens' probabilities add up to 1 with one class of unknown words
+    for s in {0, *auto.arc_target.tolist()}:
+        tokens = np.arange(auto.words)
+        known = 10 ** auto.step(np.full(len(tokens), s), tokens)[1]
+        assert known.sum() <= 1 + 1e-9
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_stretches_carry_the_state(order):
+    text = "a b c a b a c c b a b c " * 5
+    block, at, auto = small(order, (text, "a", "", text + "b"), (True, True, True, False))
+    whole = auto.traverse(block, at[0], 10 ** 6)
+    for stretch in (order, 7, 20):
+        assert np.allclose(auto.traverse(block, at[0], stretch), whole)
