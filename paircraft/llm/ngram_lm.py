@@ -282,7 +282,8 @@ def scores(docs: DataFrame, order: int = ORDER, mu: float = MU, discount: float
 
     sent = d.mapInArrow(send, "block bigint, k int, part int, ids array<bigint>, held array<boolean>, texts array<string>")
     both = sent.unionByName(answers.select("block", "k", "part", "digest", "data"), allowMissingColumns=True)
-    both = both.repartition(ranges, "block").sortWithinPartitions("block", "k", "part").select(
+    # blocks go back by the partition of the scan that they came from, so that tasks have even shares
+    both = both.repartitionById(ranges, F.shiftright("block", 20).cast("int")).sortWithinPartitions("block", "k", "part").select(
         "block", "k", "ids", "held", "texts", "digest", "data")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
