@@ -38,7 +38,7 @@ from paircraft.llm.common import CACHE_ENTRIES, cut, slices, word_crc
 
 VOCAB = "piece_bpe_32k.model"
 #: Documents per language to learn from; rounds at most; relative gain of the last round; pseudo-count.
-SAMPLE_DOCS, ROUNDS, GAIN, PSEUDO = 200, 30, 1e-4, 0.1
+SAMPLE_DOCS, ROUNDS, GAIN, PSEUDO = 200, 30, 5e-4, 0.1
 #: Letters after which the sums of a long word are scaled.
 STRIDE = 24
 #: Probability of a letter that is no piece, in any language.
@@ -178,7 +178,7 @@ class Model:
 
     def _empty(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.table, self.lettered = np.zeros((1024, len(self.langs))), np.zeros(1024, bool)
+        self.table, self.letters = np.zeros((1024, len(self.langs))), np.zeros(1024, np.int64)
 
     def _learn(self, tokens: list[bytes]) -> None:
         """Rows of the cache for space-separated tokens: the sum over their words."""
@@ -192,17 +192,18 @@ class Model:
         if need > len(self.table):
             grown = max(need, 2 * len(self.table))
             self.table = np.concatenate([self.table, np.zeros((grown - len(self.table), len(self.langs)))])
-            self.lettered = np.concatenate([self.lettered, np.zeros(grown - len(self.lettered), bool)])
-        self.table[first:need], self.lettered[first:need] = 0, False
+            self.letters = np.concatenate([self.letters, np.zeros(grown - len(self.letters), np.int64)])
+        self.table[first:need], self.letters[first:need] = 0, 0
         owners = np.array(owners, np.int64) + first
         for ix in by_length(words).values():
             for s in range(0, len(ix), 20_000):
                 part = ix[s:s + 20_000]
                 np.add.at(self.table, owners[part], forward(self.pieces, [words[i] for i in part], self.prob))
-        self.lettered[owners] = True
+        np.add.at(self.letters, owners, [len(w) - 1 for w in words])
         self.place.update(zip(tokens, range(first, need), strict=True))
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, int]]:
+        """(language, share, log-probability per letter, letters) of each text."""
         if len(self.place) > CACHE_ENTRIES:
             self._empty()
         tokens = [t.encode().lower().split() if t else [] for t in texts]
@@ -210,13 +211,14 @@ class Model:
         out = []
         for ts in tokens:
             at = np.fromiter(map(self.place.__getitem__, ts), np.int64, len(ts))
-            if not self.langs or not self.lettered[at].any():
-                out.append(("und", 0.0))
+            letters = int(self.letters[at].sum())
+            if not self.langs or not letters:
+                out.append(("und", 0.0, None, letters))
                 continue
             score = self.table[at].sum(axis=0)
             p = np.exp(score - score.max())
             best = int(np.argmax(score))
-            out.append((self.langs[best], float(p[best] / p.sum())))
+            out.append((self.langs[best], float(p[best] / p.sum()), float(score[best]) / letters, letters))
         return out
 
 
@@ -283,7 +285,9 @@ def train(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", tex
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str | None = None,
             text_col: str = "text") -> DataFrame:
-    """Rows (doc, lang_pred, score); ``doc`` holds the input's columns."""
+    """Rows (doc, lang_pred, score, fit, letters): ``doc`` holds the input's
+    columns, ``fit`` the log-probability per letter in the predicted language
+    (null for ``und``)."""
     langs, prob = model
     shared = docs.sparkSession.sparkContext.broadcast(prob)  # pieces x languages
 
@@ -291,11 +295,39 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str | N
         m = Model(vocab or public_tokenizers.path(VOCAB), langs, shared.value)
         for b in slices(batches):
             got = m.predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])],
-                                             ["doc", "lang_pred", "score"])
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]],
+                                             ["doc", "lang_pred", "score", "fit", "letters"])
 
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("t"))
-    return d.mapInArrow(run, f"doc {d.schema['doc'].dataType.simpleString()}, lang_pred string, score double")
+    return d.mapInArrow(run, f"doc {d.schema['doc'].dataType.simpleString()}, lang_pred string, score double, fit double, letters bigint")
+
+
+#: A text of at least ``LETTERS_JUDGED`` letters is foreign when its fit is so many deviations below its language's training texts.
+DEVIATIONS, LETTERS_JUDGED = 20.0, 60
+
+
+def usual_fit(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str | None = None, id_col: str = "doc_id",
+              text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> DataFrame:
+    """(lang_pred, least): the fit below which a text is in no learned
+    language, from the texts that the model was learned from; a row a language."""
+    told = predict(sample(docs, id_col, text_col, lang_col, per_lang), model, vocab, "text")
+    told = told.where((F.col("lang_pred") == F.col("doc.lang")) & (F.col("letters") >= LETTERS_JUDGED))
+    # a sixth of the texts are a deviation or more below the median; some odd ones change neither
+    middle, low = F.percentile("fit", F.lit(0.5)), F.percentile("fit", F.lit(0.16))
+    return told.groupBy("lang_pred").agg((middle - DEVIATIONS * F.greatest(middle - low, F.lit(0.1))).alias("least"))
+
+
+def in_learned_language(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows in a language that the training folds know: the share among the
+    languages is ``min_score`` or more, and the text is not far less likely
+    than that language's training texts are."""
+    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    told = predict(docs, model, text_col=text_col)
+    least = {r.lang_pred: r.least for r in usual_fit(docs, model, None, id_col, text_col, lang_col).collect()}  # a number a language
+    bound = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])[F.col("lang_pred")] if least else F.lit(None)
+    like = (F.col("letters") < LETTERS_JUDGED) | F.coalesce(F.col("fit") >= bound, F.lit(True))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score) & like).select("doc.*")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

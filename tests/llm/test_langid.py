@@ -98,3 +98,14 @@ def test_language_is_no_input_of_a_prediction(spark):
     assert langid.identify(docs.limit(0)).count() == 0
     nothing = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
+
+
+def test_text_in_no_learned_language_is_told_by_its_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше по лесу к реке"
+    more = docs.unionByName(spark.createDataFrame([(10 ** 6, foreign, None), (10 ** 6 + 1, None, "en"), (10 ** 6 + 2, "the", None)], docs.schema))
+    kept = {r.doc_id for r in langid.in_learned_language(more, 0.5).collect()}
+    assert not kept & {10 ** 6, 10 ** 6 + 1} and 10 ** 6 + 2 in kept
+    have = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert len(have - kept) <= 0.01 * len(have)
+    assert langid.in_learned_language(docs.limit(0), 0.5).count() == 0
