@@ -48,6 +48,8 @@ ORDER, MU, DISCOUNT = 2, 4.0, 0.75
 BLOCK_DOCS, BLOCK_TOKENS = 2048, 600_000
 #: Tokens that are read in one go; longer texts are read in stretches side by side.
 STRETCH = 512
+#: Tasks that score the blocks of one partition of the scan.
+DEALT = 8
 END, PAD = np.uint64(1), np.uint64(2)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -282,8 +284,9 @@ def scores(docs: DataFrame, order: int = ORDER, mu: float = MU, discount: float
 
     sent = d.mapInArrow(send, "block bigint, k int, part int, ids array<bigint>, held array<boolean>, texts array<string>")
     both = sent.unionByName(answers.select("block", "k", "part", "digest", "data"), allowMissingColumns=True)
-    # blocks go back by the partition of the scan that they came from, so that tasks have even shares
-    both = both.repartitionById(ranges, F.shiftright("block", 20).cast("int")).sortWithinPartitions("block", "k", "part").select(
+    # the blocks of a partition of the scan are dealt one by one, so that tasks have even shares
+    home = (F.shiftright("block", 20) * DEALT + F.col("block") % DEALT).cast("int")
+    both = both.repartitionById(ranges * DEALT, home).sortWithinPartitions("block", "k", "part").select(
         "block", "k", "ids", "held", "texts", "digest", "data")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
