@@ -45,7 +45,7 @@ def test_width_order_and_switches(pairs):
 
 def test_pipeline_saved_and_loaded(pairs, tmp_path):
     some = pairs.where("question2 is not null")
-    stages = [FB.PairFeatures(dim=8, wordComponents=3, charComponents=2, passes=2, minDf=1), FB.PairReducer(share=0.9), FB.PairExpert(kind="gbt", rounds=5)]
+    stages = [FB.PairFeatures(dim=8, blocks=["dense", "overlap", "numeric", "scorer"]), FB.PairReducer(share=0.9), FB.PairExpert(kind="gbt", rounds=5)]
     model = Pipeline(stages=stages).fit(some)
     model.write().overwrite().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
@@ -53,6 +53,15 @@ def test_pipeline_saved_and_loaded(pairs, tmp_path):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_term_block_saved_and_loaded(pairs, tmp_path):
+    some = pairs.where("question2 is not null")
+    texts = FB.PairTexts(some)
+    model = FB.TermBlock(analyzer="word", components=2, passes=1, minDf=1).fit_texts(texts)
+    model.write().save(str(tmp_path / "t"))
+    a, b = ({r.pair_id: r for r in m.block(texts).collect()} for m in (model, FB.TermBlockModel.load(str(tmp_path / "t"))))
+    assert a == b and len(a["p0"].svd_word) == 4
+
+
 @pytest.mark.parametrize("kind", ["lr", "svm", "rf", "gbt_deep"])
 def test_experts_learn_and_are_saved(spark, kind, tmp_path):
     rng = np.random.default_rng(7)
