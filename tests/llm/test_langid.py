@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from paircraft.llm import langid
 
@@ -109,3 +110,17 @@ def test_text_in_no_learned_language_is_told_by_its_fit(spark):
     have = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
     assert len(have - kept) <= 0.01 * len(have)
     assert langid.in_learned_language(docs.limit(0), 0.5).count() == 0
+
+
+def test_bound_is_of_all_training_documents(spark, monkeypatch):
+    """Not of the documents that the model was learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    told = langid.predict(docs, model).where(~langid.held_out("doc.doc_id") & (F.col("lang_pred") == F.col("doc.lang")) & (F.col("letters") >= 60))
+    want = {}
+    for r in told.groupBy("lang_pred").agg(F.collect_list("fit").alias("fit")).collect():
+        low, middle = np.quantile(r.fit, [0.16, 0.5])
+        want[r.lang_pred] = middle - langid.DEVIATIONS * max(middle - low, 0.1)
+    monkeypatch.setattr(langid, "sample", None)
+    got = {r.lang_pred: r.least for r in langid.usual_fit(docs, model).collect()}
+    assert want and got == pytest.approx(want)
