@@ -183,50 +183,59 @@ def describe(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return base.join(qs, "metric")
 
 
-def eda_cosine(pairs: DataFrame, kp: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+def eda_cosine(pairs: DataFrame | None, kp: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """EDA cosine (M2): unigram TF-IDF with stop words removed, raw tf, smooth
     idf, **fitted on question1 only**, both sides transformed, L2 rows.
 
     Work is per distinct text, not per pair side: texts are tokenised once;
     the document frequency of a term is the sum, over question1 texts that
     contain it, of how often the text occurs as question1 (the same count as
-    fitting on the question1 column); the pair dot product is the sparse
-    join of ``tfidf.pair_cosine``. Returns (pair_id, cosine)."""
+    fitting on the question1 column); a text's weights are one packed row,
+    and a pair joins two of them. Returns (pair_id, cosine)."""
     from paircraft.functions.text import drop_stop_words, word_tokens
     from paircraft.operators import tfidf
     from paircraft.operators.tables import distinct_questions, text_key
     if kp is None:
         kp = pairs.select("pair_id", text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
         texts = distinct_questions(pairs)
-    toks = (texts.select("qkey", word_tokens("question").alias("_tk"))
-                 .select("qkey", drop_stop_words("_tk").alias("terms")))
-    tf = tfidf.term_frequencies(toks, "qkey", F.col("terms"))
+    def terms_of(df: DataFrame) -> DataFrame:
+        return df.withColumn("_tk", word_tokens("question")).withColumn("terms", drop_stop_words("_tk"))
+
+    ensure_checkpoint_dir(kp.sparkSession)
     q1_mult = kp.groupBy(F.col("qkey1").alias("qkey")).agg(F.count(F.lit(1)).alias("m1"))
     n = kp.agg(F.count(F.lit(1))).scalar()
-    df = tf.join(q1_mult, "qkey").groupBy("term").agg(F.sum("m1").alias("df"))
-    vocab = df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    w = tfidf.TfidfModel(vocab, sublinear=False).transform(tf, "qkey")
-    return tfidf.pair_cosine(kp, w).select("pair_id", "cosine")
+    held = terms_of(texts.join(q1_mult, "qkey")).select("m1", F.array_distinct("terms").alias("terms"))
+    df = (held.select("m1", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+              .groupBy("term").agg(F.sum("m1").alias("df")))
+    vocab = df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")).checkpoint()
+    vectors = tfidf.text_vectors(texts, "question", terms_of, vocab, sublinear=False).checkpoint()
+    return tfidf.vector_cosine(kp, vectors).select("pair_id", "cosine")
 
 
-def eda_table(pairs: DataFrame) -> DataFrame:
+def eda_table(pairs: DataFrame | None, kp: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Per-pair EDA columns: lengths, word counts, length difference,
     Jaccard, EDA cosine, minimum question frequency. Texts are measured once
-    per distinct text; the pairs carry ids and keys only through the joins."""
+    per distinct text; the pairs carry ids and keys only through the joins.
+    ``kp`` (pair_id, qid1, qid2, is_duplicate, qkey1, qkey2; both texts not
+    null) and ``texts`` (qkey, question) may be passed instead of ``pairs``."""
     from paircraft.functions.similarity import set_jaccard
-    from paircraft.functions.text import char_count, jaccard_token_set, word_count
+    from paircraft.functions.text import char_count, joined_set, split_set, word_count
     from paircraft.operators.tables import attach_min_freq, distinct_questions, item_frequency, text_key
-    ensure_checkpoint_dir(pairs.sparkSession)
-    base = pairs.dropna(subset=["question1", "question2"])
-    texts = distinct_questions(base).checkpoint()
-    kp = base.select("pair_id", "qid1", "qid2", "is_duplicate", text_key("question1").alias("qkey1"),
-                     text_key("question2").alias("qkey2")).checkpoint()
-    told = texts.select("qkey", jaccard_token_set("question").alias("s"), char_count("question").alias("len"),
-                        word_count("question").alias("words")).checkpoint()
+    if kp is None:
+        ensure_checkpoint_dir(pairs.sparkSession)
+        base = pairs.dropna(subset=["question1", "question2"])
+        texts = distinct_questions(base).checkpoint()
+        kp = base.select("pair_id", "qid1", "qid2", "is_duplicate", text_key("question1").alias("qkey1"),
+                         text_key("question2").alias("qkey2"))
+    ensure_checkpoint_dir(kp.sparkSession)
+    kp = kp.select("pair_id", "qid1", "qid2", "is_duplicate", "qkey1", "qkey2").checkpoint()
+    told = texts.select("qkey", joined_set("question").alias("s"), char_count("question").alias("len"),
+                        word_count("question").alias("words"))
     side = lambda i: told.select(F.col("qkey").alias(f"qkey{i}"), F.col("s").alias(f"_s{i}"),
                                  F.col("len").alias(f"q{i}_len"), F.col("words").alias(f"q{i}_words"))
     j = kp.join(side(1), "qkey1").join(side(2), "qkey2").select(
         "pair_id", "qid1", "qid2", "is_duplicate", "q1_len", "q2_len", "q1_words", "q2_words",
-        F.abs(F.col("q1_len") - F.col("q2_len")).alias("len_diff"), set_jaccard("_s1", "_s2").alias("jaccard"))
+        F.abs(F.col("q1_len") - F.col("q2_len")).alias("len_diff"), split_set("_s1").alias("_s1"), split_set("_s2").alias("_s2"))
+    j = j.withColumn("jaccard", set_jaccard("_s1", "_s2")).drop("_s1", "_s2")
     mf = attach_min_freq(j, item_frequency(kp)).drop("freq1", "freq2")
-    return mf.join(eda_cosine(base, kp.select("pair_id", "qkey1", "qkey2"), texts), "pair_id")
+    return mf.join(eda_cosine(None, kp.select("pair_id", "qkey1", "qkey2"), texts), "pair_id")
