@@ -304,4 +304,4 @@ def numeric_block(spark, sf):
     one-hot, log1p of the minimum text frequency and its quartile one-hot
     (X18-X22)."""
     from paircraft.operators.features import numeric_block as nb
-    return nb(fx.doc_pairs(spark, sf))
+    return nb(None, fx.measured_pairs(spark, sf))

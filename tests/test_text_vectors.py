@@ -36,3 +36,17 @@ def test_token_set_as_one_string(spark):
     df = spark.createDataFrame([("The fox's 2 dens, the FOX",), ("",), ("the of",), ("?!",)], "t string")
     for r in df.select(jaccard_token_set("t").alias("a"), joined_set("t").alias("s")).select("a", split_set("s").alias("b")).collect():
         assert r.a == r.b
+
+
+@pytest.mark.parametrize("name", ["jaccard", "token_containment", "numeric_block"])
+def test_texts_are_read_per_distinct_text(spark, tmp_path, name):
+    """Whole texts of all pairs are not joined: the query works from ids and keys."""
+    import __spark_entry__ as E
+    from paircraft.sources import fixtures as fx
+    rows = [(i, f"{'red fox' if i % 3 else 'blue hen'} the {i // 4}", "en", "s") for i in range(12)] + [(20, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept, fx.doc_pairs = fx.doc_pairs, None
+    try:
+        assert E.queries()[name](spark, str(tmp_path)).count() >= 11
+    finally:
+        fx.doc_pairs = kept
