@@ -22,6 +22,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,17 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from paircraft.llm.common import CACHE_ENTRIES, slices
+from paircraft.llm.common import slices
 
 VOCAB = "word_bpe_49k.json"
 WINDOW = 4096
 END_ID = 2
 #: Open windows of a task before they are settled (bounds its memory: a window's ids take 16 kB).
 MAX_OPEN = 2048
-#: Words that are encoded as one string.
-JOINED = 150
+#: Words that are encoded as one string, and words that a task remembers (about 200 MB).
+JOINED, REMEMBERED = 150, 1_000_000
+#: Texts that are encoded at a time: their words should stay in the processor's cache.
+ENCODED = 32
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -68,22 +71,19 @@ class WordBpe:
     def _learn(self, new: list[bytes]) -> None:
         """Words of letters alone are encoded many to a string, as each of
         them ends with its first id that carries the word's end."""
-        shown = [w.decode() for w in new]
-        plain = [w for w in shown if w.isalpha()]
-        ids = np.concatenate(self._encode([" ".join(plain[i:i + JOINED]) for i in range(0, len(plain), JOINED)]) or [np.empty(0, "<u4")])
+        plain = [w for w in new if w.isalpha() or w.decode().isalpha()]
+        ids = np.concatenate(self._encode([b" ".join(plain[i:i + JOINED]).decode() for i in range(0, len(plain), JOINED)]) or [np.empty(0, "<u4")])
         ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         if len(ends) != len(plain):  # a letter that the vocabulary takes apart
             plain, ends = [], []
-        raw, begin = ids.tobytes(), 0
-        for w, end in zip(plain, ends, strict=True):
-            self.cache[w.encode()] = raw[begin:end]
-            begin = end
-        rest = [w for w in shown if w.encode() not in self.cache]
-        for w, x in zip(rest, self._encode(rest), strict=True):
-            self.cache[w.encode()] = x.tobytes()
+        raw = ids.tobytes()
+        self.cache.update(zip(plain, [raw[a:z] for a, z in zip([0, *ends], ends)], strict=True))
+        rest = [w for w in new if w not in self.cache]
+        for w, x in zip(rest, self._encode([w.decode() for w in rest]), strict=True):
+            self.cache[w] = x.tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
+        if len(self.cache) > REMEMBERED:
             self.cache.clear()
         out: list[bytes] = []
         parts = []
@@ -92,16 +92,24 @@ class WordBpe:
             raw = (t or "").encode()
             low = raw.lower()
             parts.append(None if any(a in raw or a in low for a in self.added) else low.split())
-        new = set().union(*(p for p in parts if p)) - self.cache.keys()
+        # each word is looked up once; the few that are new are filled in
+        words = list(chain.from_iterable(p for p in parts if p))
+        ids = list(map(self.cache.get, words))
+        at = [i for i, x in enumerate(ids) if x is None]
+        new = {words[i] for i in at}
         # a full stop or comma after a letter is always a piece of its own
         ended = {w for w in new if w[-1] in b".," and w[-2:-1].isalpha()}
-        self._learn(list((new - ended).union(w[:-1] for w in ended) - self.cache.keys()))
+        self._learn(list(filterfalse(self.cache.__contains__, (new - ended).union(w[:-1] for w in ended))))
         for w in ended:
             self.cache[w] = self.cache[w[:-1]] + self.mark[w[-1:]]
-        get = self.cache.__getitem__
+        for i in at:
+            ids[i] = self.cache[words[i]]
+        begin = 0
         for t, p in zip(texts, parts, strict=True):
+            end = begin + len(p or ())
             out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                       if p is None else b"".join(map(get, p)))
+                       if p is None else b"".join(ids[begin:end]))
+            begin = end
         return out
 
 
@@ -201,8 +209,9 @@ def pack(docs: DataFrame, vocab: str | None = None, window: int = WINDOW, end_id
         coder = _coder(vocab or public_tokenizers.path(VOCAB))
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         for b in slices(batches):
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode_batch(b.column(1).to_pylist()), strict=True):
-                packer.add(doc, ids + end)
+            for few in slices(iter([b]), ENCODED):
+                for doc, ids in zip(few.column(0).to_pylist(), coder.encode_batch(few.column(1).to_pylist()), strict=True):
+                    packer.add(doc, ids + end)
             if packer.done:
                 yield _batch(packer.rows())
         packer.settle()

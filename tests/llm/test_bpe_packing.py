@@ -112,3 +112,19 @@ def test_special_tokens_in_other_cases(spark):
     ids = {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     check_pieces(packing.pack(rows).collect(), ids, 4096)
+
+
+def test_a_batch_does_not_walk_the_remembered_words():
+    """What a batch costs must not grow with the words seen before it."""
+    class Remembered(dict):
+        def walked(self, *_):
+            raise AssertionError("walks all remembered words")
+        keys = items = values = __iter__ = walked
+
+    coder = packing.WordBpe(public_tokenizers.path(packing.VOCAB))
+    coder.cache = Remembered(coder.cache)
+    texts = ["Plain words, plain words.", None, "", "née x1-y2 <|ENDOFTEXT|>", "words née"]
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCAB))
+    for _ in range(2):
+        for t, ids in zip(texts, coder.encode_batch(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
