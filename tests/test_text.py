@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -37,3 +38,14 @@ def test_ngrams(spark):
     c = T.with_char_ngrams(df, "t", "g").collect()
     assert c[2].g == ["abc", "bcd", "abcd"]
     assert c[1].g == []
+
+
+def test_char_ngrams_are_matched_not_sliced(spark):
+    """All overlapping n-grams of whole characters, without a call for each of them."""
+    from paircraft.functions import text as T
+    rows = ["abcdef", "a\nb\r\u2028c", "", None, "ab", "é\U0001f600xyz\U0001f600", "A  B \t c"]
+    df = T.with_char_ngrams(spark.createDataFrame([(t,) for t in rows], "t string"), "t", "g")
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        s = re.sub(r"[ \t\n\x0b\f\r]{2,}", " ", (r.t or "").lower())
+        assert r.g == [s[i:i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)]
