@@ -191,7 +191,8 @@ def eda_cosine(pairs: DataFrame | None, kp: DataFrame | None = None, texts: Data
     the document frequency of a term is the sum, over question1 texts that
     contain it, of how often the text occurs as question1 (the same count as
     fitting on the question1 column); a text's weights are one packed row,
-    and a pair joins two of them. Returns (pair_id, cosine)."""
+    and a pair joins two of them. ``texts`` may bring that count (``m1``), so
+    that no text is shuffled for it. Returns (pair_id, cosine)."""
     from paircraft.functions.text import drop_stop_words, word_tokens
     from paircraft.operators import tfidf
     from paircraft.operators.tables import distinct_questions, text_key
@@ -202,9 +203,10 @@ def eda_cosine(pairs: DataFrame | None, kp: DataFrame | None = None, texts: Data
         return df.withColumn("_tk", word_tokens("question")).withColumn("terms", drop_stop_words("_tk"))
 
     ensure_checkpoint_dir(kp.sparkSession)
-    q1_mult = kp.groupBy(F.col("qkey1").alias("qkey")).agg(F.count(F.lit(1)).alias("m1"))
+    if "m1" not in texts.columns:
+        texts = texts.join(kp.groupBy(F.col("qkey1").alias("qkey")).agg(F.count(F.lit(1)).alias("m1")), "qkey", "left")
     n = kp.agg(F.count(F.lit(1))).scalar()
-    held = terms_of(texts.join(q1_mult, "qkey")).select("m1", F.array_distinct("terms").alias("terms"))
+    held = terms_of(texts.where("m1 > 0")).select("m1", F.array_distinct("terms").alias("terms"))
     df = (held.select("m1", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
               .groupBy("term").agg(F.sum("m1").alias("df")))
     vocab = df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")).checkpoint()
