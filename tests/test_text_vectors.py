@@ -50,3 +50,48 @@ def test_texts_are_read_per_distinct_text(spark, tmp_path, name):
         assert E.queries()[name](spark, str(tmp_path)).count() >= 11
     finally:
         fx.doc_pairs = kept
+
+
+def test_entries_are_packed_as_steps():
+    """Ids, counts and document frequencies come back exactly, in a few bytes an entry."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3000):
+        ids = np.sort(rng.choice(10 ** 6, n, replace=False)).astype(np.int64)
+        tf, df = rng.geometric(0.7, n).astype(np.int64), np.sort(rng.integers(1, 10 ** 5, n))[::-1].astype(np.int64)
+        b = tfidf.packed(ids, tf, df)
+        assert all(x.tolist() == y.tolist() for x, y in zip(tfidf.unpacked(b, n), (ids, tf, df), strict=True))
+        assert len(b) < 5 * n + 16
+
+
+def test_counts_of_first_sides_come_with_the_texts(spark, tmp_path):
+    """The EDA cosine shuffles no text to learn how often it comes first; null partners count for nothing."""
+    from paircraft.operators import eda
+    from paircraft.sources import fixtures as fx
+    rows = [(1, "red fox", "en", "s"), (2, "red hen", "en", "s"), (3, None, "en", "s"), (4, "red fox", "en", "s"), (5, "blue fox", "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    texts, kp = fx.pair_texts(spark, str(tmp_path)), fx.keyed_pairs(spark, str(tmp_path))
+    first = {r.qkey1: r["count"] for r in kp.groupBy("qkey1").count().collect()}
+    assert first and first == {r.qkey: r.m1 for r in texts.where("m1 > 0").collect()}
+    with_counts = {r.pair_id: r.cosine for r in eda.eda_cosine(None, kp, texts).collect()}
+    without = {r.pair_id: r.cosine for r in eda.eda_cosine(None, kp, texts.drop("m1")).collect()}
+    assert with_counts == pytest.approx(without) and len(with_counts) == kp.count()
+
+
+@pytest.mark.parametrize("name", ["unresolved_pairs", "encode_texts", "edit_ratio", "token_set_ratio"])
+def test_only_what_is_asked_for_is_made(spark, tmp_path, monkeypatch, name):
+    """Neither whole texts of all pairs nor cleaned texts are made where keys or raw texts do."""
+    import __spark_entry__ as E
+    from paircraft.sources import fixtures as fx
+    rows = [(i, f"{'red fox' if i % 3 else 'blue hen'} the {i // 4}", "en", "s") for i in range(12)] + [(20, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0), (20, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = None
+    if name == "unresolved_pairs":
+        from paircraft.operators import tables
+        known = spark.createDataFrame([("blue hen the 0", None), ("red fox the 0", None)], "question1 string, question2 string")
+        want = {r.pair_id for r in tables.unresolved_pairs(fx.doc_pairs(spark, str(tmp_path)), tables.distinct_questions(known)).collect()}
+    monkeypatch.setattr(fx, "doc_pairs", None)
+    monkeypatch.setattr(fx, "pair_questions", None)
+    got = E.queries()[name](spark, str(tmp_path)).collect()
+    assert len(got) > 3 and (want is None or {r.pair_id for r in got} == want)
