@@ -49,3 +49,13 @@ def test_char_ngrams_are_matched_not_sliced(spark):
     for r in df.collect():
         s = re.sub(r"[ \t\n\x0b\f\r]{2,}", " ", (r.t or "").lower())
         assert r.g == [s[i:i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)]
+
+
+def test_bad_characters_as_ranges(spark):
+    """The ranges hold the characters that the negated class does."""
+    from paircraft.functions import text as T
+    from paircraft.schema import BAD_CHR_RE
+    rows = [(f"{chr(i)}a{chr(i)}{chr(i)} ",) for i in [*range(0xD800), *range(0xE000, 0x10000), 0x1F600, 0x10FFFF]] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.where(~T.keep_basic_chars("t").eqNullSafe(F.regexp_replace("t", BAD_CHR_RE, " "))).count() == 0
+    assert "[^" not in T.BAD_CHR_RANGES
