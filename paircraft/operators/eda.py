@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paircraft.functions.binning import qcut_bin, width_bucket
 from paircraft.functions.text import drop_stop_words
-from paircraft.session import ensure_checkpoint_dir
+from paircraft.session import checkpointed, ensure_checkpoint_dir
 from paircraft.plans.ordered import exact_quantiles, quantile_edges, value_counts
 
 
@@ -202,15 +202,14 @@ def eda_cosine(pairs: DataFrame | None, kp: DataFrame | None = None, texts: Data
     def terms_of(df: DataFrame) -> DataFrame:
         return df.withColumn("_tk", word_tokens("question")).withColumn("terms", drop_stop_words("_tk"))
 
-    ensure_checkpoint_dir(kp.sparkSession)
     if "m1" not in texts.columns:
         texts = texts.join(kp.groupBy(F.col("qkey1").alias("qkey")).agg(F.count(F.lit(1)).alias("m1")), "qkey", "left")
     n = kp.agg(F.count(F.lit(1))).scalar()
     held = terms_of(texts.where("m1 > 0")).select("m1", F.array_distinct("terms").alias("terms"))
     df = (held.select("m1", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
               .groupBy("term").agg(F.sum("m1").alias("df")))
-    vocab = df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")).checkpoint()
-    vectors = tfidf.text_vectors(texts, "question", terms_of, vocab, sublinear=False).checkpoint()
+    vocab = checkpointed(df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    vectors = checkpointed(tfidf.text_vectors(texts, "question", terms_of, vocab, sublinear=False))
     return tfidf.vector_cosine(kp, vectors).select("pair_id", "cosine")
 
 
@@ -226,11 +225,10 @@ def eda_table(pairs: DataFrame | None, kp: DataFrame | None = None, texts: DataF
     if kp is None:
         ensure_checkpoint_dir(pairs.sparkSession)
         base = pairs.dropna(subset=["question1", "question2"])
-        texts = distinct_questions(base).checkpoint()
+        texts = checkpointed(distinct_questions(base))
         kp = base.select("pair_id", "qid1", "qid2", "is_duplicate", text_key("question1").alias("qkey1"),
                          text_key("question2").alias("qkey2"))
-    ensure_checkpoint_dir(kp.sparkSession)
-    kp = kp.select("pair_id", "qid1", "qid2", "is_duplicate", "qkey1", "qkey2").checkpoint()
+    kp = checkpointed(kp.select("pair_id", "qid1", "qid2", "is_duplicate", "qkey1", "qkey2"))
     told = texts.select("qkey", joined_set("question").alias("s"), char_count("question").alias("len"),
                         word_count("question").alias("words"))
     side = lambda i: told.select(F.col("qkey").alias(f"qkey{i}"), F.col("s").alias(f"_s{i}"),
@@ -238,6 +236,7 @@ def eda_table(pairs: DataFrame | None, kp: DataFrame | None = None, texts: DataF
     j = kp.join(side(1), "qkey1").join(side(2), "qkey2").select(
         "pair_id", "qid1", "qid2", "is_duplicate", "q1_len", "q2_len", "q1_words", "q2_words",
         F.abs(F.col("q1_len") - F.col("q2_len")).alias("len_diff"), split_set("_s1").alias("_s1"), split_set("_s2").alias("_s2"))
-    j = j.withColumn("jaccard", set_jaccard("_s1", "_s2")).drop("_s1", "_s2")
+    # numbers only from here on: the sets that pairs were joined with are let go before the vectors are made
+    j = checkpointed(j.withColumn("jaccard", set_jaccard("_s1", "_s2")).drop("_s1", "_s2"))
     mf = attach_min_freq(j, item_frequency(kp)).drop("freq1", "freq2")
     return mf.join(eda_cosine(None, kp.select("pair_id", "qkey1", "qkey2"), texts), "pair_id")
