@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
@@ -34,15 +35,16 @@ def key(estimator: Estimator, df: DataFrame) -> str:
     return f"{type(estimator).__name__}-{hashlib.sha1(text.encode()).hexdigest()[:16]}"
 
 
-def load_or_fit(estimator: Estimator, df: DataFrame, model_class: type[Model], store: str) -> Model:
-    """The stage fitted on ``df``, from ``store`` where it is there."""
+def load_or_fit(estimator: Estimator, df: DataFrame, model_class: type[Model], store: str, fit: Callable[[], Model] | None = None) -> Model:
+    """The stage fitted on ``df``, from ``store`` where it is there. ``fit``
+    fits it otherwise, on what ``df`` stands for by content keys."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     place = path(f"{store}/{key(estimator, df)}")
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(place):
         beside = path(f"{store}/_writing-{uuid.uuid4().hex}")
-        estimator.fit(df).write().save(beside.toString())
+        (estimator.fit(df) if fit is None else fit()).write().save(beside.toString())
         if fs.exists(place) or not fs.rename(beside, place):
             fs.delete(beside, True)  # another writer was first
     return model_class.load(place.toString())

@@ -97,3 +97,23 @@ def test_model_store_fits_once_per_content(spark, pairs, tmp_path, monkeypatch):
     load(changed)
     load(some.unionByName(some.limit(1)))  # a repeated row
     assert len(fits) == 4
+
+
+def test_keyed_pairs_give_the_blocks_of_whole_pairs(spark, pairs):
+    """Pairs of content keys and the texts' table instead of whole texts: the same blocks."""
+    whole = FB.PairTexts(pairs.where("question2 is not null"))
+    keyed = FB.PairTexts(whole.keys, whole.questions)
+    stage = FB.PairFeatures(blocks=["overlap", "numeric"])
+    a, b = ({r.pair_id: r.features for r in stage.fit_texts(t).block(t).collect()} for t in (whole, keyed))
+    assert a and a == b
+    assert {tuple(r) for r in whole.pairs.collect()} == {tuple(r) for r in keyed.pairs.collect()}
+
+
+def test_stored_features_join_no_text_to_a_pair(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    from paircraft.sources import fixtures as fx
+    rows = [(i, f"{'red fox' if i % 3 else 'blue hen'} the {i // 4}", "en", "s") for i in range(12)] + [(20, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(fx, "doc_pairs", None)
+    got = {r.pair_id: list(r.lengths) for r in E.queries()["stored_features"](spark, str(tmp_path)).collect()}
+    assert len(got) >= 11 and got["0-1"] == [10.0, 9.0, 1.0]
