@@ -95,3 +95,18 @@ def test_only_what_is_asked_for_is_made(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(fx, "pair_questions", None)
     got = E.queries()[name](spark, str(tmp_path)).collect()
     assert len(got) > 3 and (want is None or {r.pair_id for r in got} == want)
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_word_vectors_write_no_text_again(spark, tmp_path, monkeypatch, known):
+    """Only the cleaned texts are kept for the weights, or taken from the question table where it is there."""
+    from paircraft.sources import fixtures as fx
+    rows = [(i, f"{'red fox' if i % 3 else 'blue hen'} the {i // 4}", "en", "s") for i in range(12)] + [(20, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {tuple(r) for r in fx.pair_texts(spark, str(tmp_path)).select("qkey", fx.F.length("question")).collect()}
+    if known:
+        fx.pair_questions(spark, str(tmp_path))
+    monkeypatch.setattr(fx, "pair_questions", None)
+    clean = fx.pair_clean(spark, str(tmp_path))
+    assert clean.columns == ["qkey", "clean"] and {r.qkey for r in clean.collect()} == {k for k, _ in want}
+    assert fx.tfidf_vectors(spark, str(tmp_path), "word").count() == len(want)
