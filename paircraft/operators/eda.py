@@ -209,7 +209,7 @@ def eda_cosine(pairs: DataFrame | None, kp: DataFrame | None = None, texts: Data
     df = (held.select("m1", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
               .groupBy("term").agg(F.sum("m1").alias("df")))
     vocab = checkpointed(df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    vectors = checkpointed(tfidf.text_vectors(texts, "question", terms_of, vocab, sublinear=False))
+    vectors = tfidf.text_vectors(texts, "question", terms_of, vocab, sublinear=False)
     return tfidf.vector_cosine(kp, vectors).select("pair_id", "cosine")
 
 

@@ -110,3 +110,17 @@ def test_word_vectors_write_no_text_again(spark, tmp_path, monkeypatch, known):
     clean = fx.pair_clean(spark, str(tmp_path))
     assert clean.columns == ["qkey", "clean"] and {r.qkey for r in clean.collect()} == {k for k, _ in want}
     assert fx.tfidf_vectors(spark, str(tmp_path), "word").count() == len(want)
+
+
+def test_blocks_are_dealt_in_rounds(spark, monkeypatch):
+    """Each round is written before the next is dealt; all texts come out once, as in one round."""
+    monkeypatch.setattr(tfidf, "BLOCK_CHARS", 12)
+    texts = spark.createDataFrame([(f"k{i}", f"red fox {'hen ' * (i % 3)}w{i % 4}") for i in range(40)], "qkey string, clean string")
+    vocab = tfidf.fit_idf(tfidf.pair_term_frequencies(texts), "qkey", F.lit(40)).vocab.checkpoint()
+    got, written = {}, []
+    kept = tfidf.checkpointed
+    monkeypatch.setattr(tfidf, "checkpointed", lambda df: written.append(1) or kept(df))
+    for rounds in (1, 4):
+        monkeypatch.setattr(tfidf, "ROUNDS", rounds)
+        got[rounds] = sorted(tuple(r) for r in tfidf.text_vectors(texts, "clean", lambda df: tfidf.with_terms(df, "clean", "word"), vocab, True).collect())
+    assert got[1] == got[4] and len(got[1]) == 40 and len(written) == 5
