@@ -124,3 +124,34 @@ def test_blocks_are_dealt_in_rounds(spark, monkeypatch):
         monkeypatch.setattr(tfidf, "ROUNDS", rounds)
         got[rounds] = sorted(tuple(r) for r in tfidf.text_vectors(texts, "clean", lambda df: tfidf.with_terms(df, "clean", "word"), vocab, True).collect())
     assert got[1] == got[4] and len(got[1]) == 40 and len(written) == 5
+
+
+@pytest.mark.parametrize("analyzer", ["word", "char"])
+def test_model_of_distinct_texts(spark, analyzer):
+    """A row for each text: the same vocabulary as from the long counts, whether the fit is bounded by keys or by rows."""
+    texts = spark.createDataFrame([(f"k{i}", f"red fox {'hen ' * (i % 3)}w{i % 4} red fox") for i in range(40)] + [("none", "")], "qkey string, clean string")
+    fit_on = texts.select("qkey").where("qkey <> 'k3' and qkey <> 'k7'")
+    want = tfidf.fit_pair_tfidf(texts, analyzer, fit_on=fit_on)[0].vocab
+    got = tfidf.fit_distinct(texts, analyzer, fit_on=fit_on)
+    rows = lambda v: sorted((r.term, r.df, round(r.idf, 12)) for r in v.collect())
+    assert rows(got.vocab) == rows(want) == rows(tfidf.fit_distinct(texts.join(fit_on, "qkey"), analyzer).vocab) and rows(want)
+    assert got.sublinear == (analyzer == "word")
+    plan = got.vocab._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 3, plan  # terms are counted once, not by text first
+
+
+def test_scores_keep_neither_texts_nor_cleaned_texts(spark, tmp_path):
+    """They are staged for the time that something is made of them, and the scores are those of texts that stay."""
+    from paircraft.sources import fixtures as fx
+    rows = [(i, f"{'Red fox' if i % 3 else 'blue hen'} jumps the {i // 4} times", "en", "s") for i in range(24)] + [(30, None, "en", "s")]
+    made = []
+    for name in ("alone", "texts", "clean"):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+        if name == "texts":
+            fx.pair_texts(spark, sf)
+        if name == "clean":
+            fx.pair_clean(spark, sf)
+        made.append(sorted(map(tuple, fx.scores(spark, sf).collect())))
+        assert {k[1] for k in fx._MEMO if k[2] == sf} & {"pair_texts", "pair_clean"} == {"alone": set(), "texts": {"pair_texts"}, "clean": {"pair_texts", "pair_clean"}}[name]
+    assert made[0] == made[1] == made[2] and len(made[0]) >= 60
