@@ -194,7 +194,7 @@ def eda_cosine(pairs: DataFrame | None, kp: DataFrame | None = None, texts: Data
     and a pair joins two of them. ``texts`` may bring that count (``m1``), so
     that no text is shuffled for it. Returns (pair_id, cosine)."""
     from paircraft.functions.text import drop_stop_words, word_tokens
-    from paircraft.operators import tfidf
+    from paircraft.operators import coded_terms, tfidf
     from paircraft.operators.tables import distinct_questions, text_key
     if kp is None:
         kp = pairs.select("pair_id", text_key("question1").alias("qkey1"), text_key("question2").alias("qkey2"))
@@ -205,9 +205,7 @@ def eda_cosine(pairs: DataFrame | None, kp: DataFrame | None = None, texts: Data
     if "m1" not in texts.columns:
         texts = texts.join(kp.groupBy(F.col("qkey1").alias("qkey")).agg(F.count(F.lit(1)).alias("m1")), "qkey", "left")
     n = kp.agg(F.count(F.lit(1))).scalar()
-    held = terms_of(texts.where("m1 > 0")).select("m1", F.array_distinct("terms").alias("terms"))
-    df = (held.select("m1", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-              .groupBy("term").agg(F.sum("m1").alias("df")))
+    df = coded_terms.document_frequencies(texts.where("m1 > 0"), "question", terms_of, "m1")
     vocab = checkpointed(df.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
     vectors = tfidf.text_vectors(texts, "question", terms_of, vocab, sublinear=False)
     return tfidf.vector_cosine(kp, vectors).select("pair_id", "cosine")
