@@ -155,3 +155,26 @@ def test_scores_keep_neither_texts_nor_cleaned_texts(spark, tmp_path):
         made.append(sorted(map(tuple, fx.scores(spark, sf).collect())))
         assert {k[1] for k in fx._MEMO if k[2] == sf} & {"pair_texts", "pair_clean"} == {"alone": set(), "texts": {"pair_texts"}, "clean": {"pair_texts", "pair_clean"}}[name]
     assert made[0] == made[1] == made[2] and len(made[0]) >= 60
+
+
+def test_weight_sums_are_those_of_the_long_weights(spark):
+    """Number, sum and largest weight of a text come from its packed row; a text without known terms has none."""
+    texts = spark.createDataFrame(TEXTS, "qkey string, clean string")
+    tf = tfidf.pair_term_frequencies(texts)
+    model = tfidf.fit_idf(tf, "qkey", F.lit(5), 2, True)
+    model.vocab = model.vocab.checkpoint()
+    got = {r.qkey: r[1:] for r in tfidf.weight_sums(tfidf.text_vectors(texts, "clean", "word", model.vocab, True)).collect()}
+    want = model.transform(tf, "qkey").groupBy("qkey").agg(F.count("w"), F.sum("w"), F.max("w")).collect()
+    assert got.keys() == {r.qkey for r in want} == {"a", "b", "e"}
+    assert all(got[r.qkey] == pytest.approx(r[1:]) for r in want)
+
+
+def test_tfidf_weights_makes_no_long_table(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    from paircraft.sources import fixtures as fx
+    rows = [(i, f"{'red fox' if i % 3 else 'blue hen'} jumps {i // 4}", "en", "s") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(tfidf, "pair_term_frequencies", None)
+    got = E.queries()["tfidf_weights"](spark, str(tmp_path)).collect()
+    assert len(got) >= 6 and all(r.n_terms > 0 and 0 < r.max_w <= 1 for r in got)
+    assert not [k for k in fx._MEMO if k[1] == "tfidf:word:w" and k[2] == str(tmp_path)]
