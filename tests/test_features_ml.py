@@ -117,3 +117,18 @@ def test_stored_features_join_no_text_to_a_pair(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fx, "doc_pairs", None)
     got = {r.pair_id: list(r.lengths) for r in E.queries()["stored_features"](spark, str(tmp_path)).collect()}
     assert len(got) >= 11 and got["0-1"] == [10.0, 9.0, 1.0]
+
+
+def test_raw_feature_block_joins_no_text_to_a_pair(spark, tmp_path, monkeypatch):
+    """Characters and words are counted per distinct text: the numbers of whole pairs."""
+    import __spark_entry__ as E
+    from paircraft.functions.similarity import length_diffs
+    from paircraft.sources import fixtures as fx
+    rows = [(i, f"{'red fox  ' if i % 3 else 'blue hen and'} the {i // 4}", "en", "s") for i in range(12)] + [(20, None, "en", "s"), (21, "", "en", "s")]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    whole = fx.doc_pairs(spark, sf).dropna(subset=["question1", "question2"])
+    want = {r[0]: [float(r[1]), float(r[2])] for r in whole.select("pair_id", *length_diffs("question1", "question2")).collect()}
+    monkeypatch.setattr(fx, "doc_pairs", None)
+    got = {r.pair_id: r for r in E.queries()["raw_feature_block"](spark, sf).collect()}
+    assert {k: list(r.features[2:4]) for k, r in got.items()} == want and len(want) >= 11 and all(r.width == 23 for r in got.values())
