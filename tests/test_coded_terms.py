@@ -47,7 +47,7 @@ def test_terms_as_numbers_are_the_terms(spark, texts, monkeypatch, analyzer, cha
     got = {(keys[i], names[j]): n for i, j, n in zip(row.tolist(), place.tolist(), count.tolist(), strict=True)}
     assert got == want and len(got) == len(row)
     assert sorted(coded_terms.distinct_terms(own, how).to_pylist()) == sorted({t for _, t in want})
-    frequencies = {r.term: r.df for r in coded_terms.document_frequencies(texts, "t", terms_of).collect()}
+    frequencies = {r.term: r.df for r in coded_terms.document_frequencies(texts, "t", terms_of, chars=100 * chars).collect()}
     assert frequencies == {t: sum(u == t for _, u in want) for _, t in want}
 
 
